@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .appName("ledgerloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
@@ -39,16 +40,33 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return tune(spark)
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared checkpoint folder the cluster names.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the setting is absent, as in
-    single-process tests.
+    A machine-local folder is made only when the setting is absent on a local
+    master, as in single-process tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A path under the scratch root that nothing else uses."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    This cuts the lineage, survives a lost executor, and gives the planner the
+    real size, so it broadcasts the table only when it is small.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
