@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import month
+from ledgerloom.functions.exprs import lookup, month
 from ledgerloom.policy import SENTINEL, Policy
 from ledgerloom.session import materialize
 
@@ -48,10 +48,6 @@ def _units(c: Column | str) -> Column:
     return (c.cast("decimal(18,4)") * UNITS).cast("bigint")
 
 
-def _basis_units(measure: str | None) -> Column:
-    return F.lit(UNITS).cast("bigint") if measure is None else F.coalesce(_units(measure), F.lit(0).cast("bigint"))
-
-
 def target_classes(shipments: DataFrame, policy: Policy) -> DataFrame:
     """Distinct shipment classes with their row count."""
     span = F.lit("") if policy.allocation_scope == "all" else month("ship_date")
@@ -61,6 +57,7 @@ def target_classes(shipments: DataFrame, policy: Policy) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
     return classes.withColumns({
         "_wh": F.coalesce("warehouse_id", F.lit("")),
+        **{f"u_{m}": F.coalesce(_units(m), F.lit(0).cast("bigint")) for m in _MEASURES},
         "_salt": F.pmod(F.hash("item_id", "channel_store_id", "lot_id", "qty"), F.lit(SALTS)),
     })
 
@@ -69,14 +66,14 @@ def scope_totals(classes: DataFrame) -> DataFrame:
     """Per warehouse and basis: rows, total basis and whether any value is usable."""
     aggs = [F.sum("n").alias("n")]
     for m in _MEASURES:
-        aggs.append(F.sum(_basis_units(m).cast("decimal(20,0)") * F.col("n")).alias(f"t_{m}"))
-        aggs.append(F.bool_or(F.coalesce(F.col(m) != 0, F.lit(False))).alias(f"u_{m}"))
+        aggs.append(F.sum(F.col(f"u_{m}").cast("decimal(20,0)") * F.col("n")).alias(f"t_{m}"))
+        aggs.append(F.bool_or(F.coalesce(F.col(m) != 0, F.lit(False))).alias(f"any_{m}"))
     wide = classes.groupBy("_span", "_wh").agg(*aggs)
     rows = [
         F.struct(
             F.lit(basis).alias("basis"),
             (F.col(f"t_{m}") if m else F.col("n").cast("decimal(20,0)") * UNITS).cast("decimal(28,0)").alias("total"),
-            (F.col(f"u_{m}") if m else F.lit(True)).alias("usable"),
+            (F.col(f"any_{m}") if m else F.lit(True)).alias("usable"),
         )
         for basis, m in _BASIS_MEASURE.items()
     ]
@@ -118,42 +115,50 @@ def choose_basis(charges: DataFrame, scopes: DataFrame, totals: DataFrame, polic
     return best.select(*LINE, "_b.basis", "_b.total", "_b.targets")
 
 
-def _shares(lines: DataFrame, classes: DataFrame, extra: Column | None = None) -> DataFrame:
-    """Join lines to their classes and add floor ``q`` and remainder ``r``."""
-    on = ["_span", "_wh", "_salt"]
-    df = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    if extra is None:
-        df = df.join(classes, on)
-    else:
-        l, c = df.alias("l"), classes.alias("c")
-        cond = extra
-        for k in on:
-            cond = cond & (F.col(f"l.{k}") == F.col(f"c.{k}"))
-        df = l.join(c, cond).drop(*[F.col(f"l.{k}") for k in on])
-    value = None
-    for basis, m in _BASIS_MEASURE.items():
-        v = _basis_units(m)
-        value = F.when(F.col("basis") == basis, v) if value is None else value.when(F.col("basis") == basis, v)
-    flat = F.col("total") == 0
+def _shares(lines: DataFrame, classes: DataFrame, same_class: Column | None = None) -> DataFrame:
+    """Join lines to their classes and add floor ``q`` and remainder ``r``.
+
+    ``same_class`` adds equalities between the two sides, named ``l`` and ``c``.
+    """
+    l = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("l")
+    on = F.lit(True) if same_class is None else same_class
+    for k in ("_span", "_wh", "_salt"):
+        on = on & (F.col(f"l.{k}") == F.col(f"c.{k}"))
+    df = l.join(classes.alias("c"), on).drop(*[F.col(f"l.{k}") for k in ("_span", "_wh", "_salt")])
+    v = F.when(F.col("_measure") == -1, F.lit(UNITS).cast("bigint"))
+    for code, m in enumerate(_MEASURES):
+        v = v.when(F.col("_measure") == code, F.col(f"u_{m}"))
+    # 64-bit arithmetic wherever the product fits, 38 digits otherwise.
+    fits = F.col("_den64").isNotNull() & (
+        F.abs(F.col("v").cast("double") * F.col("_amount").cast("double")) < F.lit(9.0e18))
+    wide = "CAST(v AS DECIMAL(18,0)) * CAST(_amount AS DECIMAL(18,0))"
     return (
-        df.withColumn("v", F.when(flat, F.lit(UNITS).cast("bigint")).otherwise(value))
-        .withColumn("_num", F.col("v").cast("decimal(18,0)") * F.col("_amount"))
-        .withColumn("r", F.expr("pmod(_num, _den)"))
-        .withColumn("q", F.expr("(_num - r) div _den"))
-        .drop("_num")
+        df.withColumn("v", v)
+        .withColumn("r", F.when(fits, F.expr("CAST(pmod(v * _amount, _den64) AS DECIMAL(34,0))"))
+                    .otherwise(F.expr(f"CAST(pmod({wide}, _den) AS DECIMAL(34,0))")))
+        .withColumn("q", F.when(fits, F.expr("(v * _amount - pmod(v * _amount, _den64)) div _den64"))
+                    .otherwise(F.expr(f"({wide} - r) div _den")))
     )
 
 
 def _line_frame(charges: DataFrame, basis: DataFrame, policy: Policy) -> DataFrame:
-    """Per charge line: integer amount, denominator and units to hand out."""
+    """Per charge line: integer amount, denominator and units to hand out.
+
+    ``_measure`` is the position of the measure the basis reads, or -1 where
+    every shipment counts once, which is also the rule for a zero total.
+    """
     step = 10 ** (4 - policy.allocation_decimals)
     amount = F.col("amount").cast("decimal(18,4)")
-    total = F.when(F.col("total") == 0, F.col("targets").cast("decimal(28,0)") * UNITS).otherwise(F.col("total"))
+    flat = F.col("total") == 0
+    total = F.when(flat, F.col("targets").cast("decimal(28,0)") * UNITS).otherwise(F.col("total"))
     sign = F.when(total < 0, F.lit(-1)).otherwise(F.lit(1))
+    den = (total * sign).cast("decimal(28,0)") * F.lit(step)
+    code = {b: _MEASURES.index(m) if m else -1 for b, m in _BASIS_MEASURE.items()}
     return charges.select(*LINE, "amount").join(basis, LINE).select(
-        *LINE, "basis", "total", "targets",
-        (_units("amount") * sign).cast("decimal(18,0)").alias("_amount"),
-        ((total * sign).cast("decimal(28,0)") * F.lit(step)).alias("_den"),
+        F.monotonically_increasing_id().alias("_line"), *LINE, "basis",
+        F.when(flat, F.lit(-1)).otherwise(lookup(F.col("basis"), code, -1)).alias("_measure"),
+        (_units("amount") * sign).alias("_amount"),
+        den.cast("decimal(34,0)").alias("_den"), F.when(den < F.lit(9.0e18), den).cast("bigint").alias("_den64"),
         F.bround(amount * F.lit(10 ** policy.allocation_decimals), 0).cast("bigint").alias("units"),
     )
 
@@ -168,10 +173,10 @@ def _null_safe_number(c: str) -> Column:
 
 def _cross_over(groups: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
     """The group of each line in which the running count reaches ``_k``."""
-    w = Window.partitionBy(*LINE).orderBy(*order)
+    w = Window.partitionBy("_line").orderBy(*order)
     run = groups.withColumn("_upto", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_w") < F.col("_k"))).select(
-        *LINE, *keep, (F.col("_k") - F.col("_upto") + F.col("_w")).alias("_k"))
+        "_line", *keep, (F.col("_k") - F.col("_upto") + F.col("_w")).alias("_k"))
 
 
 @dataclass(frozen=True)
@@ -184,8 +189,8 @@ class Plan:
     buckets: DataFrame  # rows and floor sum per line and remainder bucket
 
     def units(self) -> DataFrame:
-        floors = self.buckets.groupBy(*LINE).agg(F.sum("_floor").cast("bigint").alias("floor_units"))
-        return self.lines.join(floors, LINE).withColumn("shortfall", F.col("units") - F.col("floor_units"))
+        floors = self.buckets.groupBy("_line").agg(F.sum("_floor").cast("bigint").alias("floor_units"))
+        return self.lines.join(floors, "_line").withColumn("shortfall", F.col("units") - F.col("floor_units"))
 
 
 def _bucket() -> Column:
@@ -193,7 +198,9 @@ def _bucket() -> Column:
     return F.floor(share * BUCKETS).cast("int")
 
 
-def plan_basis(charges: DataFrame, shipments: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_basis(
+    charges: DataFrame, shipments: DataFrame, policy: Policy,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written classes, charge scopes, and the lazily chosen basis per line."""
     classes = materialize(target_classes(shipments, policy), "classes")
     totals = materialize(scope_totals(classes), "totals")
@@ -202,10 +209,12 @@ def plan_basis(charges: DataFrame, shipments: DataFrame, policy: Policy) -> tupl
 
 
 def plan_allocation(charges: DataFrame, shipments: DataFrame, policy: Policy) -> Plan:
+    charges = materialize(charges.select(*LINE, "amount", "period", "warehouse_id"), "charges")
     classes, scopes, basis = plan_basis(charges, shipments, policy)
     lines = materialize(_line_frame(charges, basis, policy), "lines")
-    scoped = materialize(scopes.join(lines, LINE), "scoped")
-    buckets = _shares(scoped, classes).groupBy(*LINE, _bucket().alias("_bucket")).agg(
+    scoped = materialize(
+        scopes.join(lines, LINE).select("_line", "_span", "_wh", "_measure", "_amount", "_den", "_den64"), "scoped")
+    buckets = _shares(scoped, classes).groupBy("_line", _bucket().alias("_bucket")).agg(
         F.sum("n").alias("_w"), F.sum(F.col("q").cast("decimal(20,0)") * F.col("n")).alias("_floor"))
     return Plan(classes, lines, scoped, materialize(buckets, "buckets"))
 
@@ -219,13 +228,13 @@ def _tail() -> list[Column]:
 
 def cut_off(plan: Plan) -> DataFrame:
     """Per line with a shortfall, the class in which the last extra unit falls."""
-    need = plan.units().filter("shortfall > 0").select(*LINE, F.col("shortfall").alias("_k"))
-    at = _cross_over(plan.buckets.join(need, LINE), [F.desc("_bucket")], ["_bucket"])
+    need = plan.units().filter("shortfall > 0").select("_line", F.col("shortfall").alias("_k"))
+    at = _cross_over(plan.buckets.join(need, "_line"), [F.desc("_bucket")], ["_bucket"])
 
     def narrow(at: DataFrame, inside: Column, same_class: Column | None, groups: dict[str, Column], order: list[Column],
                carry: list[str], label: str) -> DataFrame:
-        found = _shares(plan.scoped.join(at, LINE), plan.classes, same_class).filter(inside)
-        counts = found.groupBy(*LINE, "_k", *carry, *[c.alias(k) for k, c in groups.items()]).agg(
+        found = _shares(plan.scoped.join(at, "_line"), plan.classes, same_class).filter(inside)
+        counts = found.groupBy("_line", "_k", *carry, *[c.alias(k) for k, c in groups.items()]).agg(
             F.sum("n").alias("_w"))
         return materialize(_cross_over(counts, order, [*carry, *groups]), label)
 
@@ -246,7 +255,7 @@ def cut_off(plan: Plan) -> DataFrame:
 def allocated_classes(charges: DataFrame, shipments: DataFrame, policy: Policy) -> DataFrame:
     """One row per charge line and class: floor ``q``, rows ``n``, rows with one more unit ``m``."""
     plan = plan_allocation(charges, shipments, policy)
-    final = _shares(plan.scoped.join(cut_off(plan), LINE, "left"), plan.classes)
+    final = _shares(plan.scoped.join(cut_off(plan), "_line", "left"), plan.classes)
     mine = F.struct(F.col("_wh"), _text_key("channel_store_id"), _text_key("item_id"), *_tail())
     cut = F.struct(F.col("_at_wh"), F.col("_at_store"), F.col("_at_item"), *[F.col(k) for k in _TAIL])
     tied = F.when(mine < cut, F.col("n")).when(mine == cut, F.col("_k")).otherwise(F.lit(0))
@@ -254,11 +263,11 @@ def allocated_classes(charges: DataFrame, shipments: DataFrame, policy: Policy)
         F.when(F.col("_k").isNull(), F.lit(0)).when(F.col("r") > F.col("_r"), F.col("n"))
         .when(F.col("r") == F.col("_r"), tied).otherwise(F.lit(0)).cast("bigint")
     )
-    placed = final.select(
+    placed = final.join(plan.lines.select("_line", *LINE, "basis"), "_line").select(
         *LINE, "basis", "warehouse_id", "channel_store_id", "item_id", "lot_id",
         (F.col("v").cast("double") / UNITS).alias("basis_value"), "q", "n", extra.alias("m"))
 
-    alone = plan.lines.join(plan.scoped.select(*LINE).distinct(), LINE, "left_anti").join(
+    alone = plan.lines.join(plan.scoped, "_line", "left_anti").join(
         charges.select(*LINE, "warehouse_id", "channel_store_id"), LINE)
     stand_in = alone.select(
         *LINE, "basis",
