@@ -1,0 +1,183 @@
+"""Registered data-quality queries over file rows and upload rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.catalog import Catalog, query, table
+from ledgerloom.functions.exprs import month
+from ledgerloom.operators import quality
+
+
+@table("shipment_rows")
+def shipment_rows(cat: Catalog) -> DataFrame:
+    """File rows under canonical names, still text."""
+    return cat["apply_aliases"]
+
+
+@query("dq_required_columns")
+def dq_required_columns(cat: Catalog) -> DataFrame:
+    """The schema verdict next to the number of rows it decides over."""
+    rows = cat["shipment_rows"]
+    size = rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))
+    return quality.required_columns(rows, "fact_shipment").withColumn("_one", F.lit(1)).join(size, "_one").drop("_one")
+
+
+@query("dq_null_keys")
+def dq_null_keys(cat: Catalog) -> DataFrame:
+    df = cat["shipment_rows"]
+    return quality.counted(df, quality.null_keys(df, "fact_shipment"))
+
+
+@query("dq_duplicate_keys")
+def dq_duplicate_keys(cat: Catalog) -> DataFrame:
+    uploads = cat["upload_shipment"]
+    return quality.duplicate_keys(uploads, "fact_shipment")
+
+
+@query("dq_type_coercion")
+def dq_type_coercion(cat: Catalog) -> DataFrame:
+    df = cat["shipment_rows"]
+    return quality.counted(df, quality.type_coercion(df, "fact_shipment"))
+
+
+@query("dq_charge_types")
+def dq_charge_types(cat: Catalog) -> DataFrame:
+    return quality.charge_types(cat["raw_charges"], cat.policy)
+
+
+@query("dq_quantity_range")
+def dq_quantity_range(cat: Catalog) -> DataFrame:
+    """Negative quantities with the first five rows concerned."""
+    df = cat["upload_inventory_snapshot"]
+    bad = df.filter("onhand_qty < 0")
+    total = bad.agg(F.count(F.lit(1)).alias("bad_rows")).withColumn("_one", F.lit(1))
+    first = bad.select("source_file_name", "source_row_no").orderBy("source_file_name", "source_row_no").limit(5)
+    sample = first.agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat_ws(":", "source_file_name", "source_row_no"))), ", ").alias("sample")).withColumn("_one", F.lit(1))
+    return total.join(sample, "_one").select(
+        F.lit("quantity_range_onhand_qty").alias("check_name"), F.lit("HIGH").alias("severity"),
+        (F.col("bad_rows") == 0).alias("passed"), "bad_rows", "sample")
+
+
+@query("dq_amount_outlier")
+def dq_amount_outlier(cat: Catalog) -> DataFrame:
+    """Settlement amounts in KRW against the outlier limit."""
+    krw = cat["mart_pnl_revenue"].select(
+        F.col("net_revenue_krw").alias("net_payout"), F.col("gross_sales_krw").alias("gross_sales"))
+    return quality.counted(krw, quality.amount_outlier(krw, cat.policy))
+
+
+@query("dq_date_range")
+def dq_date_range(cat: Catalog) -> DataFrame:
+    df = cat["shipment_rows"]
+    return quality.counted(df, quality.date_range(df, "fact_shipment", cat.policy))
+
+
+@query("dq_period_continuity")
+def dq_period_continuity(cat: Catalog) -> DataFrame:
+    return quality.period_continuity(cat["fact_exchange_rate"].filter("currency = 'EUR'"))
+
+
+@query("dq_cross_ship_vs_inventory")
+def dq_cross_ship_vs_inventory(cat: Catalog) -> DataFrame:
+    return quality.total_exceeds(
+        cat["fact_shipment"], "qty_shipped", cat["fact_inventory_snapshot"], "onhand_qty", "cross_shipment_vs_inventory")
+
+
+@query("dq_cross_return_vs_ship")
+def dq_cross_return_vs_ship(cat: Catalog) -> DataFrame:
+    return quality.total_exceeds(
+        cat["fact_return"], "qty_returned", cat["fact_shipment"], "qty_shipped", "cross_return_vs_shipment")
+
+
+@table("dq_report")
+def dq_report(cat: Catalog) -> DataFrame:
+    """Every check over the shipment file and the charge file."""
+    ship = quality.run_all(
+        cat["shipment_rows"], "fact_shipment", cat.policy,
+        {"fact_inventory_snapshot": cat["fact_inventory_snapshot"]})
+    charge = quality.run_all(cat["raw_charges"], "fact_charge_actual", cat.policy)
+    return ship.withColumn("file_name", F.lit("shipments.csv")).unionByName(
+        charge.withColumn("file_name", F.lit("charges.csv")))
+
+
+@query("dq_gate")
+def dq_gate(cat: Catalog) -> DataFrame:
+    return quality.gate(cat["dq_report"], ["file_name"])
+
+
+@query("file_and_dq_logs")
+def file_and_dq_logs(cat: Catalog) -> DataFrame:
+    """Log rows of a run: one per file and check, with the file's final status."""
+    verdict = cat["dq_gate"].select(
+        "file_name", F.when(F.col("rejected"), "dq_failed").otherwise("success").alias("file_status"))
+    return cat["dq_report"].join(verdict, "file_name").withColumn("batch_id", F.lit(42))
+
+
+@query("policy_validate")
+def policy_validate(cat: Catalog) -> DataFrame:
+    """Charge lines whose type or basis the policy does not support."""
+    known = cat.policy.basis_candidates(cat.spark).select("charge_type").distinct().withColumn("_known", F.lit(True))
+    return cat["raw_charges"].join(known, "charge_type", "left").filter("_known IS NULL").select(
+        "invoice_no", "invoice_line_no", "charge_type", F.lit("unknown charge type").alias("problem"))
+
+
+# ---- uploads ------------------------------------------------------------
+INVENTORY_KEY = ["snapshot_date", "warehouse_id", "item_id", "lot_id"]
+
+
+@query("dq_upload_keys")
+def dq_upload_keys(cat: Catalog) -> DataFrame:
+    return quality.repeated_keys(
+        cat["upload_inventory_snapshot"], "source_file_name", "source_row_no", INVENTORY_KEY)
+
+
+@query("dq_upload_nonneg")
+def dq_upload_nonneg(cat: Catalog) -> DataFrame:
+    columns = ["onhand_qty", "sellable_qty", "blocked_qty", "reserved_qty"]
+    return quality.flagged(
+        cat["upload_inventory_snapshot"], ["source_file_name", "source_row_no"],
+        [(f"{c} is negative", F.col(c) < 0) for c in columns])
+
+
+@query("dq_upload_inventory")
+def dq_upload_inventory(cat: Catalog) -> DataFrame:
+    onhand, sellable, blocked = F.col("onhand_qty"), F.col("sellable_qty"), F.col("blocked_qty")
+    return quality.flagged(cat["upload_inventory_snapshot"], ["source_file_name", "source_row_no"], [
+        ("sellable_qty exceeds onhand_qty", sellable > onhand),
+        ("blocked_qty exceeds onhand_qty", blocked > onhand),
+        ("sellable + blocked + reserved exceeds onhand_qty", sellable + blocked + F.col("reserved_qty") > onhand),
+    ])
+
+
+@query("dq_upload_dates")
+def dq_upload_dates(cat: Catalog) -> DataFrame:
+    po = quality.flagged(cat["upload_purchase_order"], ["source_file_name", F.col("po_id").alias("row_key")], [
+        ("eta_date before po_date", F.col("eta_date") < F.col("po_date"))])
+    receipt = quality.flagged(cat["upload_receipt"], ["source_file_name", F.col("receipt_id").alias("row_key")], [
+        ("mfg_date after receipt_date", F.col("mfg_date") > F.col("receipt_date")),
+        ("expiry_date before mfg_date", F.col("expiry_date") < F.col("mfg_date"))])
+    ship = quality.flagged(cat["upload_shipment"], ["source_file_name", F.col("raw_id").cast("string").alias("row_key")], [
+        ("ship_date before promised_ship_date", F.col("ship_date") < F.col("promised_ship_date")),
+        ("delivered_at before ship_date", F.col("delivered_at") < F.col("ship_date"))])
+    return po.unionByName(receipt).unionByName(ship)
+
+
+@query("dq_upload_periods")
+def dq_upload_periods(cat: Catalog) -> DataFrame:
+    sales = quality.flagged(cat["upload_sales"], ["source_file_name", "line_no"], [
+        ("order_date outside period", month("order_date") != F.col("period")),
+        ("ship_date outside period", month("ship_date") != F.col("period"))])
+    charge = quality.flagged(cat["upload_charge"], ["source_file_name", F.col("invoice_line_no").alias("line_no")], [
+        ("invoice_date outside period", month("invoice_date") != F.col("period")),
+        ("reference_period after period", F.col("reference_period") > F.col("period"))])
+    return sales.unionByName(charge)
+
+
+@query("dq_upload_error_report")
+def dq_upload_error_report(cat: Catalog) -> DataFrame:
+    """What a sender sees: at most fifty problems per file."""
+    w = Window.partitionBy("source_file_name").orderBy("line_no", "problem")
+    return cat["dq_upload_periods"].withColumn("_rn", F.row_number().over(w)).filter("_rn <= 50").drop("_rn")

@@ -150,6 +150,14 @@ class Policy:
         _, stage, _, default, _ = self.charge_types[charge_type]
         return self.stage_bases.get(stage, [default])
 
+    def problems(self) -> list[str]:
+        """Bases and charge types the configuration names but does not support."""
+        out = [f"{t}: unsupported basis {spec[3]}" for t, spec in self.charge_types.items() if spec[3] not in BASES]
+        for where, table in (("stage", self.stage_bases), ("override", self.basis_overrides)):
+            out += [f"{where} {k}: unsupported basis {b}" for k, bases in table.items() for b in bases if b not in BASES]
+        out += [f"override for unknown charge type {t}" for t in self.basis_overrides if t not in self.charge_types]
+        return out
+
     def charge_policy(self, spark: SparkSession) -> DataFrame:
         """The charge-type dimension, one row per configured type."""
         rows = [(name, *spec) for name, spec in self.charge_types.items()]
