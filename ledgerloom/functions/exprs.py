@@ -36,6 +36,30 @@ def exact_avg(c: Column | str) -> Column:
     return F.try_divide(F.sum(c.cast(MONEY)).cast("double"), F.count(c).cast("double"))
 
 
+RATE = "decimal(28,10)"
+
+
+def rate_avg(c: Column | str) -> Column:
+    """Mean of a ratio column at ten decimals, independent of row order."""
+    c = col(c)
+    return F.try_divide(F.sum(c.cast(RATE)).cast("double"), F.count(c).cast("double"))
+
+
+def weighted_avg(c: Column | str, weight: Column | str) -> Column:
+    """sum(x * w) / sum(w) over rows where x is known."""
+    c, w = col(c), col(weight)
+    known = F.when(c.isNotNull(), w)
+    return F.try_divide(F.sum((c * w).cast(RATE)).cast("double"), F.sum(known).cast("double"))
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Single-row frames as one row."""
+    out = frames[0].withColumn("_one", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
 def n_unique(c: Column | str) -> Column:
     """Distinct count where NULL is one more value."""
     c = col(c)

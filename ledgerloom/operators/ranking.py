@@ -31,3 +31,23 @@ def row_number_in_steps(
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("int"))
         .drop("_before", "_local")
     )
+
+
+def running_sum_in_steps(
+    df: DataFrame, partition: list[str], coarse: str, fine: list[Column | str], value: Column, out: str,
+) -> DataFrame:
+    """Running sum of a decimal ``value`` in (coarse, fine) order, in the same two steps."""
+    keys = [*partition, coarse]
+    df = df.withColumn("_v", value)
+    totals = df.groupBy(*keys).agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*partition).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy(*keys).orderBy(*fine).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("_local", F.sum("_v").over(local))
+    return summed.join(offsets, keys).withColumn(out, F.col("_before") + F.col("_local")).drop("_v", "_local", "_before")
+
+
+def falling_bucket(score: Column) -> Column:
+    """A coarse key that rises as ``score`` falls, about one per cent wide; NULL comes first."""
+    size = F.floor(F.log2(F.lit(1.0) + F.abs(score)) * 64).cast("int")
+    return F.coalesce(F.when(score >= 0, -size).otherwise(size), F.lit(-(2**31) + 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog, query, table
@@ -10,6 +10,7 @@ from ledgerloom.functions.exprs import MONEY, exact_sum, flag_of_rows, month, wo
 from ledgerloom.operators import allocation
 from ledgerloom.operators.allocation import LINE
 from ledgerloom.operators.asof import asof_join
+from ledgerloom.operators.ranking import falling_bucket, row_number_in_steps
 
 GRAIN = ["period", "item_id", "channel_store_id"]
 FULL_GRAIN = [*GRAIN, "country"]
@@ -133,14 +134,6 @@ def mart_pnl_cogs(cat: Catalog) -> DataFrame:
         F.when(F.col("unit_cost_krw").isNotNull(), "ACTUAL").otherwise("PARTIAL").alias("coverage_flag"))
 
 
-def assert_grain(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Fail the job when a key repeats; adds one aggregation on the key."""
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    message = F.concat(F.lit(f"{name}: duplicate grain "), F.concat_ws("/", *keys))
-    ok = dup.filter(F.assert_true(F.col("_n") == 1, message).isNull()).select(*keys)
-    return df.join(ok, keys, "left_semi")
-
-
 @query("mart_pnl_gross_margin")
 def mart_pnl_gross_margin(cat: Catalog) -> DataFrame:
     revenue = cat["mart_pnl_revenue"].groupBy(*FULL_GRAIN).agg(
@@ -232,11 +225,12 @@ def profitability_ranking(cat: Catalog) -> DataFrame:
         *FULL_GRAIN, "contribution_krw", "contribution_pct", F.col("coverage_flag").alias("_c"))
     df = revenue.join(margin, FULL_GRAIN, "left").join(contribution, FULL_GRAIN, "left")
     score = F.coalesce("contribution_krw", "gross_margin_krw", "net_revenue_krw")
-    # One row per item, store and country, so a month's window is catalogue-sized.
-    w = Window.partitionBy("period").orderBy(F.desc_nulls_first(score), "item_id", "channel_store_id", "country")
+    df = row_number_in_steps(
+        df.withColumn("_step", falling_bucket(score)), ["period"], ["_step"],
+        [F.desc_nulls_first(score), "item_id", "channel_store_id", "country"], "rank_by_contribution")
     return df.select(
         *FULL_GRAIN, "net_revenue_krw", "gross_margin_krw", "gross_margin_pct", "contribution_krw",
-        "contribution_pct", F.row_number().over(w).alias("rank_by_contribution"),
+        "contribution_pct", "rank_by_contribution",
         worst_flag(F.col("_r"), F.col("_g"), F.col("_c")).alias("coverage_flag"))
 
 
