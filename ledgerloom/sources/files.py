@@ -32,7 +32,7 @@ def inbox_scan(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("file_path")
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+def file_hashes(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """SHA-256 of each file's bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.csv").load(folder)

@@ -38,7 +38,7 @@ def write_mart(df: DataFrame, path: str, partition: str | None = None, schema: T
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -60,7 +60,7 @@ def merge_into(staging: DataFrame, table: str, path: str) -> DataFrame:
     stamp = month(day) if kind == "date" else day
     staged = staging.withColumn(MONTH, F.coalesce(stamp, F.lit("none")))
     keys = list(contract.key)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         staged.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
         return spark.read.schema(staged.schema).parquet(path)
 

@@ -12,40 +12,42 @@ from ledgerloom.operators import ingest, quality
 from ledgerloom.plans.coverage import split_by_gate
 from ledgerloom.policy import Policy
 from ledgerloom.session import scratch_dir
-from ledgerloom.sources.contracts import CONTRACTS
-from ledgerloom.sources.tables import append_log, merge_into
+from ledgerloom.sources.contracts import CONTRACTS, SYSTEM_COLUMNS
+from ledgerloom.sources.files import file_hashes, new_files
+from ledgerloom.sources.tables import append_log, exists, merge_into
 
 
 def load_rows(
     rows: DataFrame, table: str, path: str, log_path: str, batch_id: int, policy: Policy,
-    closed: DataFrame | None = None,
+    hashes: DataFrame, closed: DataFrame | None = None,
 ) -> None:
     """Check, cast, gate and merge one batch of raw string rows.
 
-    ``rows`` carries ``file_path``. A file with a failed hard check loads
-    nothing; rows of a closed period are held back and counted.
+    ``rows`` carries ``file_path``; ``hashes`` gives each path its content
+    hash. A file with a failed hard check loads nothing; rows of a closed
+    period are held back. Files merge as if taken in path order.
     """
     contract = CONTRACTS[table]
-    named = ingest.apply_aliases(rows, table).persist()
+    named = ingest.apply_aliases(rows, table).join(hashes, "file_path").persist()
     try:
         hard = _bad_files(named, table, policy)
-        clean = named.join(F.broadcast(hard), "file_path", "left_anti")
-        kept = ingest.cast_columns(ingest.filter_columns(clean.withColumn("source_file_hash", F.sha2("file_path", 256)),
-                                                         table), table)
+        clean = named.join(hard, "file_path", "left_anti").withColumnRenamed("file_hash", "source_file_hash")
+        known = [c for c in clean.columns if c in contract.columns or c in SYSTEM_COLUMNS]
+        kept = ingest.cast_columns(clean.select(*known, "file_path"), table)
         staged = ingest.add_system_columns(kept, table, batch_id, F.col("source_file_hash"), policy.as_of)
         for c in contract.columns:
             if c not in staged.columns:
                 staged = staged.withColumn(c, F.lit(None).cast(contract.spark_type(c)))
-        # Two files of one batch may carry the same key; the later path wins.
-        staged = ingest.latest_per_key(staged, list(contract.key), [F.desc("source_file_hash")])
+        staged = ingest.latest_per_key(staged, list(contract.key), [F.desc("file_path")]).drop("file_path")
         if closed is not None:
             event = F.col(contract.event_date)
             stamp = month(event) if contract.columns[contract.event_date] == "DATE" else event
             staged = split_by_gate(staged.withColumn("_p", stamp), closed, "_p")[0].drop("_p")
         merge_into(staged, table, path)
-        append_log(named.groupBy("file_path").agg(F.count(F.lit(1)).alias("row_count")).join(
+        append_log(named.groupBy("file_path", "file_hash").agg(F.count(F.lit(1)).alias("row_count")).join(
             hard.withColumn("_bad", F.lit(True)), "file_path", "left").select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"), "file_path", F.lit(table).alias("table_name"), "row_count",
+            F.lit(batch_id).cast("bigint").alias("batch_id"), "file_path", "file_hash",
+            F.lit(table).alias("table_name"), "row_count",
             F.when(F.col("_bad"), "dq_failed").otherwise("success").alias("status")), log_path)
     finally:
         named.unpersist()
@@ -82,7 +84,14 @@ def inbox_stream(
     rows = source.withColumn("file_path", F.col("_metadata.file_path"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        load_rows(batch, table, path, log_path, batch_id, policy, closed)
+        # One entry per file of the micro-batch, which the source options bound.
+        paths = [r[0] for r in batch.select("file_path").distinct().collect()]
+        if not paths:
+            return
+        hashes = file_hashes(spark, paths).select(F.col("path").alias("file_path"), "file_hash")
+        if exists(spark, log_path):
+            hashes = new_files(hashes, spark.read.parquet(log_path))
+        load_rows(batch, table, path, log_path, batch_id, policy, hashes, closed)
 
     return rows.writeStream.foreachBatch(each).option(
         "checkpointLocation", checkpoint or scratch_dir(spark, "inbox-stream")).trigger(availableNow=True).start()

@@ -38,7 +38,7 @@ def test_unknown_header_and_tie_fail(spark):
 
 
 def test_override_alias_wins(spark):
-    df = spark.createDataFrame([("1",)], "코드 string")
+    df = spark.createDataFrame([("1",)], "`코드` string")
     assert ingest.apply_aliases(df, "fact_order", [(None, "코드", "item_id")]).columns == ["item_id"]
 
 
