@@ -80,6 +80,8 @@ class Catalog:
         self.spark = tune(spark)
         self.policy = policy or Policy()
         self.source_dir = source_dir
+        # Plans that several builders share, beside the frames themselves.
+        self.notes: dict[str, object] = {}
         self._frames: dict[str, DataFrame] = dict(tables or {})
 
     def __getitem__(self, name: str) -> DataFrame:

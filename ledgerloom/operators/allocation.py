@@ -32,6 +32,8 @@ BUCKETS = 65_536
 # Joins against the classes use this many salts per warehouse, so one hot
 # warehouse never lands in one task. Only the charge side is repeated.
 SALTS = 8
+# Up to this many scoped lines (about 200 bytes each) are broadcast.
+BROADCAST_LINES = 100_000
 # Identical rows of one class are written in pieces of this size.
 PIECE = 100_000
 
@@ -115,16 +117,25 @@ def choose_basis(charges: DataFrame, scopes: DataFrame, totals: DataFrame, polic
     return best.select(*LINE, "_b.basis", "_b.total", "_b.targets")
 
 
-def _shares(lines: DataFrame, classes: DataFrame, same_class: Column | None = None) -> DataFrame:
+def _shares(
+    lines: DataFrame, classes: DataFrame, few_lines: bool, same_class: Column | None = None,
+) -> DataFrame:
     """Join lines to their classes and add floor ``q`` and remainder ``r``.
 
-    ``same_class`` adds equalities between the two sides, named ``l`` and ``c``.
+    A checked small number of lines is broadcast, so the classes never move.
+    Otherwise both sides shuffle on warehouse and salt. ``same_class`` adds
+    equalities between the two sides, named ``l`` and ``c``.
     """
-    l = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("l")
+    keys = ["_span", "_wh"]
+    if few_lines:
+        l = F.broadcast(lines.alias("l"))
+    else:
+        l = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("l")
+        keys.append("_salt")
     on = F.lit(True) if same_class is None else same_class
-    for k in ("_span", "_wh", "_salt"):
+    for k in keys:
         on = on & (F.col(f"l.{k}") == F.col(f"c.{k}"))
-    df = l.join(classes.alias("c"), on).drop(*[F.col(f"l.{k}") for k in ("_span", "_wh", "_salt")])
+    df = l.join(classes.alias("c"), on).drop(*[F.col(f"l.{k}") for k in keys])
     v = F.when(F.col("_measure") == -1, F.lit(UNITS).cast("bigint"))
     for code, m in enumerate(_MEASURES):
         v = v.when(F.col("_measure") == code, F.col(f"u_{m}"))
@@ -187,6 +198,7 @@ class Plan:
     lines: DataFrame  # one row per charge line
     scoped: DataFrame  # lines repeated per warehouse they cover
     buckets: DataFrame  # rows and floor sum per line and remainder bucket
+    few_lines: bool  # the scoped lines were counted and may be broadcast
 
     def units(self) -> DataFrame:
         floors = self.buckets.groupBy("_line").agg(F.sum("_floor").cast("bigint").alias("floor_units"))
@@ -209,14 +221,15 @@ def plan_basis(
 
 
 def plan_allocation(charges: DataFrame, shipments: DataFrame, policy: Policy) -> Plan:
-    charges = materialize(charges.select(*LINE, "amount", "period", "warehouse_id"), "charges")
+    """``charges`` is read several times, so it should be a written table."""
     classes, scopes, basis = plan_basis(charges, shipments, policy)
     lines = materialize(_line_frame(charges, basis, policy), "lines")
     scoped = materialize(
         scopes.join(lines, LINE).select("_line", "_span", "_wh", "_measure", "_amount", "_den", "_den64"), "scoped")
-    buckets = _shares(scoped, classes).groupBy("_line", _bucket().alias("_bucket")).agg(
+    few_lines = scoped.count() <= BROADCAST_LINES
+    buckets = _shares(scoped, classes, few_lines).groupBy("_line", _bucket().alias("_bucket")).agg(
         F.sum("n").alias("_w"), F.sum(F.col("q").cast("decimal(20,0)") * F.col("n")).alias("_floor"))
-    return Plan(classes, lines, scoped, materialize(buckets, "buckets"))
+    return Plan(classes, lines, scoped, materialize(buckets, "buckets"), few_lines)
 
 
 _TAIL = ["_at_lot", "_at_v", "_at_qty", "_at_weight", "_at_volume"]
@@ -233,7 +246,7 @@ def cut_off(plan: Plan) -> DataFrame:
 
     def narrow(at: DataFrame, inside: Column, same_class: Column | None, groups: dict[str, Column], order: list[Column],
                carry: list[str], label: str) -> DataFrame:
-        found = _shares(plan.scoped.join(at, "_line"), plan.classes, same_class).filter(inside)
+        found = _shares(plan.scoped.join(at, "_line"), plan.classes, plan.few_lines, same_class).filter(inside)
         counts = found.groupBy("_line", "_k", *carry, *[c.alias(k) for k, c in groups.items()]).agg(
             F.sum("n").alias("_w"))
         return materialize(_cross_over(counts, order, [*carry, *groups]), label)
@@ -252,10 +265,9 @@ def cut_off(plan: Plan) -> DataFrame:
                   ["_r", "_at_wh", "_at_store", "_at_item"], "cut-class")
 
 
-def allocated_classes(charges: DataFrame, shipments: DataFrame, policy: Policy) -> DataFrame:
+def allocated_classes(plan: Plan, charges: DataFrame) -> DataFrame:
     """One row per charge line and class: floor ``q``, rows ``n``, rows with one more unit ``m``."""
-    plan = plan_allocation(charges, shipments, policy)
-    final = _shares(plan.scoped.join(cut_off(plan), "_line", "left"), plan.classes)
+    final = _shares(plan.scoped.join(cut_off(plan), "_line", "left"), plan.classes, plan.few_lines)
     mine = F.struct(F.col("_wh"), _text_key("channel_store_id"), _text_key("item_id"), *_tail())
     cut = F.struct(F.col("_at_wh"), F.col("_at_store"), F.col("_at_item"), *[F.col(k) for k in _TAIL])
     tied = F.when(mine < cut, F.col("n")).when(mine == cut, F.col("_k")).otherwise(F.lit(0))

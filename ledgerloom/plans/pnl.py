@@ -11,14 +11,32 @@ from ledgerloom.operators import allocation
 from ledgerloom.operators.allocation import LINE
 from ledgerloom.operators.asof import asof_join
 from ledgerloom.operators.ranking import falling_bucket, row_number_in_steps
+from ledgerloom.session import materialize
 
 GRAIN = ["period", "item_id", "channel_store_id"]
 FULL_GRAIN = [*GRAIN, "country"]
 
 
 # ---- allocation ---------------------------------------------------------
+@table("rated_charges")
+def rated_charges(cat: Catalog) -> DataFrame:
+    """Charge lines with their rate, written once because every round reads them."""
+    rates = cat["fact_exchange_rate"].select("period", "currency", "rate_to_krw")
+    rate = F.when(F.col("currency") == "KRW", F.lit(1.0)).otherwise(
+        F.coalesce("rate_to_krw", F.lit(cat.policy.allocation_fx_default)))
+    rated = cat["fact_charge_actual"].join(rates, ["period", "currency"], "left").select(
+        *LINE, "period", "currency", "amount", "warehouse_id", "channel_store_id", rate.alias("rate"))
+    return materialize(rated, "charges")
+
+
+def _plan(cat: Catalog) -> allocation.Plan:
+    if "allocation" not in cat.notes:
+        cat.notes["allocation"] = allocation.plan_allocation(cat["rated_charges"], cat["fact_shipment"], cat.policy)
+    return cat.notes["allocation"]
+
+
 def _basis(cat: Catalog) -> DataFrame:
-    return allocation.plan_basis(cat["fact_charge_actual"], cat["fact_shipment"], cat.policy)[2]
+    return allocation.plan_basis(cat["rated_charges"], cat["fact_shipment"], cat.policy)[2]
 
 
 @query("allocation_basis")
@@ -31,7 +49,7 @@ def allocation_basis(cat: Catalog) -> DataFrame:
 @query("largest_remainder")
 def largest_remainder(cat: Catalog) -> DataFrame:
     """Per charge line: invoice units, sum of floors, units handed out, and the sum of the parts."""
-    plan = allocation.plan_allocation(cat["fact_charge_actual"], cat["fact_shipment"], cat.policy)
+    plan = _plan(cat)
     parts = cat["allocated_classes"].groupBy(*LINE).agg(
         F.sum(F.col("q") * F.col("n") + F.col("m")).cast("bigint").alias("allocated_units"),
         F.sum("m").cast("bigint").alias("handed_out"))
@@ -41,14 +59,10 @@ def largest_remainder(cat: Catalog) -> DataFrame:
 @table("allocated_classes")
 def allocated_classes(cat: Catalog) -> DataFrame:
     """Allocation per charge line and shipment class, with amounts in both currencies."""
-    p = cat.policy
-    charges = cat["fact_charge_actual"]
-    placed = allocation.allocated_classes(charges, cat["fact_shipment"], p)
-    rated = charges.select(*LINE, "period", "currency").join(
-        cat["fact_exchange_rate"].select("period", "currency", "rate_to_krw"), ["period", "currency"], "left",
-    ).withColumn("rate", F.when(F.col("currency") == "KRW", F.lit(1.0)).otherwise(
-        F.coalesce("rate_to_krw", F.lit(p.allocation_fx_default)))).drop("rate_to_krw")
-    return placed.join(rated, LINE).join(p.charge_policy(cat.spark), "charge_type")
+    charges = cat["rated_charges"]
+    placed = allocation.allocated_classes(_plan(cat), charges)
+    return placed.join(charges.select(*LINE, "period", "currency", "rate"), LINE).join(
+        cat.policy.charge_policy(cat.spark), "charge_type")
 
 
 def _unit(cat: Catalog, units: Column) -> Column:
@@ -76,7 +90,7 @@ def mart_charge_allocated(cat: Catalog) -> DataFrame:
 @query("unallocated_charges")
 def unallocated_charges(cat: Catalog) -> DataFrame:
     """Charges no basis could be found for, with the reason they were left out."""
-    left = cat["fact_charge_actual"].join(_basis(cat).select(*LINE), LINE, "left_anti")
+    left = cat["rated_charges"].join(_basis(cat).select(*LINE), LINE, "left_anti")
     known = cat.policy.charge_policy(cat.spark).select("charge_type", F.lit(True).alias("_known"))
     return left.join(known, "charge_type", "left").select(
         *LINE, "period", "amount", "currency",
