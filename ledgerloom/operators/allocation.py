@@ -12,7 +12,8 @@ is found by narrowing: count rows per remainder bucket, then inside the bucket
 that crosses the shortfall per exact remainder, warehouse and store, then per
 item, then per class. Each count is a partial aggregation and each ordered
 frame is small. The last pass compares every class with the cut-off. Every
-round reads the same written classes and writes one row per charge line.
+round reads the same written classes and writes one row per charge line. When
+the widest line was counted and is small, one window does the same in one pass.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BUCKETS = 65_536
 SALTS = 8
 # Up to this many scoped lines (about 200 bytes each) are broadcast.
 BROADCAST_LINES = 100_000
+# A line over at most this many classes is ordered in one window.
+WINDOW_CLASSES = 500_000
 # Identical rows of one class are written in pieces of this size.
 PIECE = 100_000
 
@@ -66,7 +69,7 @@ def target_classes(shipments: DataFrame, policy: Policy) -> DataFrame:
 
 def scope_totals(classes: DataFrame) -> DataFrame:
     """Per warehouse and basis: rows, total basis and whether any value is usable."""
-    aggs = [F.sum("n").alias("n")]
+    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")]
     for m in _MEASURES:
         aggs.append(F.sum(F.col(f"u_{m}").cast("decimal(20,0)") * F.col("n")).alias(f"t_{m}"))
         aggs.append(F.bool_or(F.coalesce(F.col(m) != 0, F.lit(False))).alias(f"any_{m}"))
@@ -79,19 +82,19 @@ def scope_totals(classes: DataFrame) -> DataFrame:
         )
         for basis, m in _BASIS_MEASURE.items()
     ]
-    return wide.select("_span", "_wh", "n", F.inline(F.array(*rows)))
+    return wide.select("_span", "_wh", "n", "classes", F.inline(F.array(*rows)))
 
 
 def charge_scopes(charges: DataFrame, totals: DataFrame, policy: Policy) -> DataFrame:
     """The warehouses each charge line covers: its own if it has rows, else all."""
     span = F.lit("") if policy.allocation_scope == "all" else F.col("period")
     lines = charges.select(*LINE, "warehouse_id", span.alias("_span"))
-    homes = totals.select("_span", "_wh").distinct()
+    homes = totals.select("_span", "_wh", "classes").distinct()
     marked = lines.join(
-        homes.select("_span", F.col("_wh").alias("warehouse_id"), F.lit(True).alias("_hit")),
-        ["_span", "warehouse_id"], "left")
-    own = marked.filter("_hit").select(*LINE, "_span", F.col("warehouse_id").alias("_wh"))
-    everywhere = marked.filter("_hit IS NULL").join(homes, "_span").select(*LINE, "_span", "_wh")
+        homes.select("_span", F.col("_wh").alias("warehouse_id"), "classes"), ["_span", "warehouse_id"], "left")
+    own = marked.filter("classes IS NOT NULL").select(*LINE, "_span", F.col("warehouse_id").alias("_wh"), "classes")
+    everywhere = marked.filter("classes IS NULL").drop("classes").join(homes, "_span").select(
+        *LINE, "_span", "_wh", "classes")
     return own.unionByName(everywhere)
 
 
@@ -101,7 +104,7 @@ def choose_basis(charges: DataFrame, scopes: DataFrame, totals: DataFrame, polic
     Lines over no shipment at all keep one stand-in target worth one unit.
     """
     spark = charges.sparkSession
-    over = scopes.join(totals, ["_span", "_wh"]).groupBy(*LINE, "basis").agg(
+    over = scopes.drop("classes").join(totals, ["_span", "_wh"]).groupBy(*LINE, "basis").agg(
         F.sum("total").cast("decimal(28,0)").alias("total"), F.sum("n").alias("targets"),
         F.bool_or("usable").alias("usable"))
     empty = charges.select(*LINE).join(scopes.select(*LINE).distinct(), LINE, "left_anti")
@@ -197,14 +200,18 @@ class Plan:
     classes: DataFrame
     lines: DataFrame  # one row per charge line
     scoped: DataFrame  # lines repeated per warehouse they cover
-    buckets: DataFrame  # rows and floor sum per line and remainder bucket
     few_lines: bool  # the scoped lines were counted and may be broadcast
+    largest: int  # classes under the widest line
 
     def units(self) -> DataFrame:
-        floors = self.buckets.groupBy("_line").agg(F.sum("_floor").cast("bigint").alias("floor_units"))
+        floors = _shares(self.scoped, self.classes, self.few_lines).groupBy("_line").agg(_floor_units())
         return self.lines.join(floors, "_line").withColumn("shortfall", F.col("units") - F.col("floor_units"))
 
 
+def _floor_units() -> Column:
+    return F.sum(F.col("q").cast("decimal(20,0)") * F.col("n")).cast("bigint").alias("floor_units")
+
+
 def _bucket() -> Column:
     share = F.col("r").cast("double") / F.col("_den").cast("double")
     return F.floor(share * BUCKETS).cast("int")
@@ -224,12 +231,11 @@ def plan_allocation(charges: DataFrame, shipments: DataFrame, policy: Policy) ->
     """``charges`` is read several times, so it should be a written table."""
     classes, scopes, basis = plan_basis(charges, shipments, policy)
     lines = materialize(_line_frame(charges, basis, policy), "lines")
-    scoped = materialize(
-        scopes.join(lines, LINE).select("_line", "_span", "_wh", "_measure", "_amount", "_den", "_den64"), "scoped")
-    few_lines = scoped.count() <= BROADCAST_LINES
-    buckets = _shares(scoped, classes, few_lines).groupBy("_line", _bucket().alias("_bucket")).agg(
-        F.sum("n").alias("_w"), F.sum(F.col("q").cast("decimal(20,0)") * F.col("n")).alias("_floor"))
-    return Plan(classes, lines, scoped, materialize(buckets, "buckets"), few_lines)
+    scoped = materialize(scopes.join(lines, LINE).select(
+        "_line", "_span", "_wh", "classes", "_measure", "_amount", "_den", "_den64"), "scoped")
+    size = scoped.groupBy("_line").agg(F.count(F.lit(1)).alias("_p"), F.sum("classes").alias("_c")).agg(
+        F.sum("_p").alias("pairs"), F.max("_c").alias("largest")).first()
+    return Plan(classes, lines, scoped.drop("classes"), (size.pairs or 0) <= BROADCAST_LINES, size.largest or 0)
 
 
 _TAIL = ["_at_lot", "_at_v", "_at_qty", "_at_weight", "_at_volume"]
@@ -241,8 +247,12 @@ def _tail() -> list[Column]:
 
 def cut_off(plan: Plan) -> DataFrame:
     """Per line with a shortfall, the class in which the last extra unit falls."""
-    need = plan.units().filter("shortfall > 0").select("_line", F.col("shortfall").alias("_k"))
-    at = _cross_over(plan.buckets.join(need, "_line"), [F.desc("_bucket")], ["_bucket"])
+    buckets = materialize(
+        _shares(plan.scoped, plan.classes, plan.few_lines).groupBy("_line", _bucket().alias("_bucket")).agg(
+            F.sum("n").alias("_w"), _floor_units()), "buckets")
+    floors = buckets.groupBy("_line").agg(F.sum("floor_units").alias("_f"))
+    need = plan.lines.join(floors, "_line").select("_line", (F.col("units") - F.col("_f")).alias("_k")).filter("_k > 0")
+    at = _cross_over(buckets.select("_line", "_bucket", "_w").join(need, "_line"), [F.desc("_bucket")], ["_bucket"])
 
     def narrow(at: DataFrame, inside: Column, same_class: Column | None, groups: dict[str, Column], order: list[Column],
                carry: list[str], label: str) -> DataFrame:
@@ -265,9 +275,22 @@ def cut_off(plan: Plan) -> DataFrame:
                   ["_r", "_at_wh", "_at_store", "_at_item"], "cut-class")
 
 
-def allocated_classes(plan: Plan, charges: DataFrame) -> DataFrame:
-    """One row per charge line and class: floor ``q``, rows ``n``, rows with one more unit ``m``."""
-    final = _shares(plan.scoped.join(cut_off(plan), "_line", "left"), plan.classes, plan.few_lines)
+def _extra_by_window(plan: Plan) -> DataFrame:
+    """Extra units where every line is small enough to be ordered in one task."""
+    line = Window.partitionBy("_line")
+    upto = line.orderBy(
+        F.desc("r"), "_wh", _text_key("channel_store_id"), _text_key("item_id"), *_tail(),
+    ).rowsBetween(Window.unboundedPreceding, 0)
+    floors = F.sum(F.col("q").cast("decimal(20,0)") * F.col("n")).over(line).cast("bigint")
+    df = _shares(plan.scoped, plan.classes, plan.few_lines).withColumns(
+        {"_floors": floors, "_upto": F.sum("n").over(upto)}).join(plan.lines.select("_line", *LINE, "basis", "units"), "_line")
+    room = F.col("units") - F.col("_floors") - F.col("_upto") + F.col("n")
+    return df.withColumn("m", F.greatest(F.lit(0), F.least(room, F.col("n"))).cast("bigint"))
+
+
+def _extra_by_cut_off(plan: Plan) -> DataFrame:
+    """Extra units by comparing each class with its line's cut-off; no line is gathered."""
+    df = _shares(plan.scoped.join(cut_off(plan), "_line", "left"), plan.classes, plan.few_lines)
     mine = F.struct(F.col("_wh"), _text_key("channel_store_id"), _text_key("item_id"), *_tail())
     cut = F.struct(F.col("_at_wh"), F.col("_at_store"), F.col("_at_item"), *[F.col(k) for k in _TAIL])
     tied = F.when(mine < cut, F.col("n")).when(mine == cut, F.col("_k")).otherwise(F.lit(0))
@@ -275,9 +298,15 @@ def allocated_classes(plan: Plan, charges: DataFrame) -> DataFrame:
         F.when(F.col("_k").isNull(), F.lit(0)).when(F.col("r") > F.col("_r"), F.col("n"))
         .when(F.col("r") == F.col("_r"), tied).otherwise(F.lit(0)).cast("bigint")
     )
-    placed = final.join(plan.lines.select("_line", *LINE, "basis"), "_line").select(
+    return df.withColumn("m", extra).join(plan.lines.select("_line", *LINE, "basis"), "_line")
+
+
+def allocated_classes(plan: Plan, charges: DataFrame) -> DataFrame:
+    """One row per charge line and class: floor ``q``, rows ``n``, rows with one more unit ``m``."""
+    df = _extra_by_window(plan) if plan.largest <= WINDOW_CLASSES else _extra_by_cut_off(plan)
+    placed = df.select(
         *LINE, "basis", "warehouse_id", "channel_store_id", "item_id", "lot_id",
-        (F.col("v").cast("double") / UNITS).alias("basis_value"), "q", "n", extra.alias("m"))
+        (F.col("v").cast("double") / UNITS).alias("basis_value"), "q", "n", "m")
 
     alone = plan.lines.join(plan.scoped, "_line", "left_anti").join(
         charges.select(*LINE, "warehouse_id", "channel_store_id"), LINE)

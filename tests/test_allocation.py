@@ -49,8 +49,12 @@ BASIS = {"LAST_MILE_PARCEL": "order_count", "FREIGHT_INTL_SEA": "weight", "DOMES
          "CUSTOMS_DUTY": "weight", "PLATFORM_FEE": "revenue"}
 
 
-@pytest.mark.parametrize("decimals, seed, hot", [(0, 1, False), (0, 2, True), (2, 3, False)])
-def test_matches_restatement(spark, decimals, seed, hot):
+@pytest.mark.parametrize("decimals, seed, hot, window, few", [
+    (0, 1, False, 0, 10**6), (0, 2, True, 0, 0), (2, 3, False, 0, 10**6), (0, 2, True, 10**6, 10**6), (2, 4, False, 10**6, 0)])
+def test_matches_restatement(spark, monkeypatch, decimals, seed, hot, window, few):
+    """Both ways to place the extra units, with and without broadcast lines."""
+    monkeypatch.setattr(allocation, "WINDOW_CLASSES", window)
+    monkeypatch.setattr(allocation, "BROADCAST_LINES", few)
     pick = random.Random(seed)
     ships = shipments(150, seed, hot)
     charges = [charge(i, pick.choice(list(BASIS)), pick.choice([1000.0, 500.0, 999999.0, 333.0, 7.0, 1234.56, -250.0]),
