@@ -168,17 +168,22 @@ def mart_pnl_gross_margin(cat: Catalog) -> DataFrame:
 
 @query("mart_pnl_variable_cost")
 def mart_pnl_variable_cost(cat: Catalog) -> DataFrame:
-    """Summed from classes, so no shipment row is expanded."""
+    """Summed from classes, so no shipment row is expanded.
+
+    Written once: contribution, profit, waterfall and ranking all read it, and
+    it is far smaller than the allocation behind it.
+    """
     def krw(units: Column) -> Column:
         return (_unit(cat, units) * F.col("rate")).cast(MONEY)
 
     spent = krw(F.col("q")) * (F.col("n") - F.col("m")) + krw(F.col("q") + 1) * F.col("m")
-    return cat["allocated_classes"].groupBy(
+    summed = cat["allocated_classes"].groupBy(
         "period", F.coalesce("item_id", F.lit("ALL")).alias("item_id"),
         F.coalesce("channel_store_id", F.lit("ALL")).alias("channel_store_id"), "charge_domain", "charge_type",
     ).agg(F.sum(spent).cast("double").alias("allocated_amount_krw")).select(
         *GRAIN, F.lit("KR").alias("country"), "charge_domain", "charge_type", "allocated_amount_krw",
         F.lit("ACTUAL").alias("coverage_flag"))
+    return materialize(summed, "variable-cost")
 
 
 @query("mart_pnl_contribution")
