@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import importlib
+import sys
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Tasks get the functions of this package by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Module of each registered query.
 _QUERIES = {
+    "op7_toxicity": "toxicity",
     "op9_language_id": "language",
 }
 
