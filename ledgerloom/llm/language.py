@@ -134,9 +134,12 @@ def _calibrate(model: LanguageModel, texts: list[str], label: np.ndarray, precis
 
 
 def training_sample(docs: DataFrame, rows: int = 1_200, chars: int = 4_000) -> DataFrame:
-    """At most ``rows`` labelled texts of at most ``chars`` characters, picked by a hash of the text."""
+    """At most ``rows`` labelled texts (times their labels) of at most ``chars`` characters, picked by a hash of the text."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    return usable.filter(F.length("text") <= chars).select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(rows)
+    hashed = usable.filter(F.length("text") <= chars).select("text", "lang", F.xxhash64("text").alias("hash"))
+    # Only hashes are compared to pick; the picked ones are ``rows`` at most, so they may be sent to every task.
+    picked = hashed.select("hash").distinct().orderBy("hash").limit(rows)
+    return hashed.join(F.broadcast(picked), "hash").select("text", "lang").distinct()
 
 
 def detect(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -161,5 +164,5 @@ def detect(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out("doc_id", 5, 0))
-    rows = training_sample(docs.filter(~F.col("held_out"))).collect()
+    rows = sorted(training_sample(docs.filter(~F.col("held_out"))).collect())
     return detect(docs, fit([r.text for r in rows], [r.lang for r in rows]))
