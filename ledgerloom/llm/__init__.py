@@ -18,6 +18,7 @@ _QUERIES = {
     "op6_token_counts": "tokenfiles",
     "op7_toxicity": "toxicity",
     "op9_language_id": "language",
+    "op10_byte_bpe": "bpe",
 }
 
 
