@@ -15,6 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Module of each registered query.
 _QUERIES = {
+    "op3_decontamination": "tiling",
     "op6_token_counts": "tokenfiles",
     "op7_toxicity": "toxicity",
     "op9_language_id": "language",
