@@ -16,6 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Module of each registered query.
 _QUERIES = {
     "op3_decontamination": "tiling",
+    "op5_order_minhash": "orderhash",
     "op6_token_counts": "tokenfiles",
     "op7_toxicity": "toxicity",
     "op9_language_id": "language",
