@@ -1,18 +1,20 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern, and each slice of a partition lists its
-distinct pieces once. The JVM folds ranked merges over the bytes of every distinct
-piece: an accumulator holds the parts, their ids and the ranks of neighbouring pairs,
-and each step joins the leftmost pair of lowest rank. Ranks come from a literal map,
-spread over small maps by a checksum of the key because a map is searched in order.
-Documents then read the ids of their pieces. All of it is one narrow stage: a slice's
-pieces and its documents follow each other through the same task, and nothing is
-shuffled. Decoding joins the bytes of each id.
-
-A piece of more than ``LONG`` bytes is merged by a heap in the task instead, with the
-same result, because the fold takes time with the square of the length. Null texts
-encode to no ids; ids that the ranks do not know decode to nothing. Rows are kept as
-they are, repeated ones too.
+distinct pieces once. Ranked merges are folded over the bytes of all distinct pieces
+together: in each round every piece joins its leftmost pair of lowest rank, until no
+piece has a pair with a rank. Documents then read the ids of their pieces. All of it is
+one narrow stage, nothing is shuffled. Decoding is Spark's: the bytes of each id, from
+a literal array, are joined by higher-order functions.
+
+``fold_expression`` is the same fold as Spark higher-order functions over a literal
+rank map. It gives the same ids but takes some 40 times the time for a piece (README),
+so ``encode`` does without it.
+
+A piece of more than ``LONG`` bytes is merged with a heap, with the same result, because
+the fold takes time with the square of the length. Null texts encode to no ids; ids
+that the ranks do not know decode to nothing. Rows are kept as they are, repeated ones
+too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +84,8 @@ def _merged(acc: Column, maps: Column) -> Column:
     return _let(F.array_min(acc["pairs"]), step)
 
 
-def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``ids`` of each ``piece`` (null stays null)."""
+def fold_expression(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``pieces`` with the ``ids`` of each ``piece`` (null stays null), by an expression alone."""
     maps = _rank_maps(ranks)
     places = F.sequence(F.lit(1), F.col("n"))
     hexed = pieces.withColumn("hex", F.hex(F.encode("piece", "UTF-8"))).withColumn("n", (F.length("hex") / 2).cast("int"))
@@ -122,61 +123,84 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+class Merges:
+    """The ranks as sorted pairs of ids, to fold many pieces at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = [(left << 32 | right, rank) for token, rank in ranks.items() for cut in range(1, len(token))
+                 if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None]
+        pairs.sort()
+        self.keys = np.array([p[0] for p in pairs], np.int64)
+        self.values = np.array([p[1] for p in pairs], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank that each pair of ids merges to, or ``_NONE``."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], _NONE)
+
+    def fold(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each piece has."""
+        whole = [self.ranks.get(p) for p in pieces]
+        done: dict[int, list[int]] = {i: merge_long(p, self.ranks) for i, p in enumerate(pieces) if whole[i] is None and len(p) > LONG}
+        sizes = np.array([len(p) if whole[i] is None and i not in done else 0 for i, p in enumerate(pieces)], np.int64)
+        flat = np.frombuffer(b"".join(p for p, n in zip(pieces, sizes, strict=True) if n), np.uint8)
+        ids, owner = self.bytes[flat], np.repeat(np.arange(len(pieces)), sizes)
+        joined = owner[1:] == owner[:-1]
+        pair = np.append(np.where(joined, self.of(ids[:-1], ids[1:]), _NONE), _NONE) if len(ids) else ids
+        ended = [(np.array([i for i, w in enumerate(whole) if w is not None], np.int64), np.array([w for w in whole if w is not None], np.int64)),
+                 (np.array([i for i, x in done.items() for _ in x], np.int64), np.array([v for x in done.values() for v in x], np.int64))]
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.repeat(np.minimum.reduceat(pair, starts), np.diff(np.append(starts, len(ids))))
+            going = best < _NONE
+            ended.append((owner[~going], ids[~going]))
+            ids, owner, pair, best = ids[going], owner[going], pair[going], best[going]
+            at = np.flatnonzero(pair == best)
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])] if len(at) else at
+            ids[at] = best[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, owner, pair = ids[stay], owner[stay], pair[stay]
+            at = at - np.arange(len(at))
+            for k in (at - 1, at):
+                k = k[(k >= 0) & (k + 1 < len(ids))]
+                same = owner[k] == owner[k + 1]
+                pair[k] = np.where(same, self.of(ids[k], ids[k + 1]), _NONE)
+            pair[-1:] = _NONE
+        owners, values = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(owners, kind="stable")
+        return values[order].astype(np.int32), np.bincount(owners, minlength=len(pieces))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids) of each row of ``docs`` (doc_id, text)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, merges = regex.compile(pattern).findall, Merges(ranks)
         for batch in slices(batches, limit=PIECE_SLICE):
             index: dict[str, int] = {}
             place = index.setdefault
-            codes = [np.array([place(p, len(index)) for p in find(text)], np.int32).tobytes() for text in filled(batch, "text").to_pylist()]
-            pieces = list(index)
-            ready = [merge_long(p.encode(), ranks) if len(p) > LONG // 4 and len(p.encode()) > LONG else None for p in pieces]
-            short = [p if r is None else None for p, r in zip(pieces, ready, strict=True)]
-            n, m = len(pieces), batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, batch.column("doc_id").type), pa.nulls(n, pa.binary()), pa.array(short, pa.string()), pa.array(ready, pa.list_(pa.int32()))],
-                ["doc_id", "codes", "piece", "ready"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(codes, pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32()))],
-                ["doc_id", "codes", "piece", "ready"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: list[pa.Array] = []
-        flat, first, sizes, open_list = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), False
-        for batch in batches:
-            is_doc = batch.column("codes").is_valid().to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(is_doc)) + 1), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if not is_doc[a]:
-                    # Pieces after documents open the next slice's list.
-                    lists = [*lists, batch.column("ids").slice(a, b - a)] if open_list else [batch.column("ids").slice(a, b - a)]
-                    open_list = True
-                    continue
-                if open_list:
-                    every = pa.concat_arrays(lists)
-                    flat = every.flatten().to_numpy(zero_copy_only=False)
-                    sizes = pc.list_value_length(every).to_numpy(zero_copy_only=False).astype(np.int64)
-                    first, lists, open_list = np.cumsum(sizes) - sizes, [], False
-                out = []
-                for codes in batch.column("codes").slice(a, b - a).to_pylist():
-                    picks = np.frombuffer(codes, np.int32)
-                    count = sizes[picks]
-                    ends = np.cumsum(count)
-                    total = int(ends[-1]) if len(ends) else 0
-                    out.append(flat[np.repeat(first[picks] - ends + count, count) + np.arange(total)] if total else flat[:0])
-                offsets = np.zeros(len(out) + 1, np.int32)
-                np.cumsum([len(x) for x in out], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids], ["doc_id", "ids"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(split, f"doc_id {id_type}, codes binary, piece string, ready array<int>")
-    encoded = _folded(rows, ranks).select("doc_id", "codes", F.coalesce("ready", "ids").alias("ids"))
-    return encoded.mapInArrow(gather, f"doc_id {id_type}, ids array<int>")
+            codes = [np.array([place(p, len(index)) for p in find(text)], np.int32) for text in filled(batch, "text").to_pylist()]
+            flat, sizes = merges.fold([p.encode() for p in index])
+            first = np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _gathered(codes, flat, first, sizes)], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+
+
+def _gathered(codes: list[np.ndarray], flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each document the ids of its pieces."""
+    out = []
+    for picks in codes:
+        count = sizes[picks]
+        ends = np.cumsum(count)
+        out.append(flat[np.repeat(first[picks] - ends + count, count) + np.arange(ends[-1])] if len(ends) else flat[:0])
+    offsets = np.zeros(len(out) + 1, np.int32)
+    np.cumsum([len(x) for x in out], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).astype(np.int32)))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
