@@ -10,12 +10,15 @@ from pathlib import Path
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.session import tune
+
 # Tasks get the functions of this package by value: executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Module of each registered query.
 _QUERIES = {
     "op3_decontamination": "tiling",
+    "op4_line_dedup": "lines",
     "op5_order_minhash": "orderhash",
     "op6_token_counts": "tokenfiles",
     "op7_toxicity": "toxicity",
@@ -24,8 +27,21 @@ _QUERIES = {
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"{__name__}.{module}"), name) for name, module in _QUERIES.items()}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def prepared(query: Query) -> Query:
+    """The query in a session that splits skewed joins and drops the shuffle files of finished jobs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark).conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: prepared(getattr(importlib.import_module(f"{__name__}.{module}"), name)) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
