@@ -22,6 +22,7 @@ _QUERIES = {
     "op5_order_minhash": "orderhash",
     "op6_token_counts": "tokenfiles",
     "op7_toxicity": "toxicity",
+    "op8_substring_dedup": "relative",
     "op9_language_id": "language",
     "op10_byte_bpe": "bpe",
 }
