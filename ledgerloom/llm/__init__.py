@@ -17,6 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Module of each registered query.
 _QUERIES = {
+    "op1_suffix_tree": "suffixtree",
     "op2_jaccard_forest": "forest",
     "op3_decontamination": "tiling",
     "op4_line_dedup": "lines",
