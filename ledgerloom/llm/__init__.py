@@ -33,12 +33,12 @@ _QUERIES = {
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def prepared(query: Query) -> Query:
-    """The query in a session that splits skewed joins and drops the shuffle files of finished jobs."""
+def prepared(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``work`` in a session that splits skewed joins and drops the shuffle files of finished jobs."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, *args: object) -> DataFrame:
         tune(spark).conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        return query(spark, sf_dir)
+        return work(spark, *args)
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.text import filled, hashes, mix, ngrams, slices, words
-from ledgerloom.session import materialize
+from ledgerloom.llm.steps import materialize
 
 SIZE, SIMILARITY, TREES, DEEPEST, TARGET = 5, 0.8, 32, 8, 0.9999
 CROWD, BLOCK = 64, 512
@@ -229,7 +229,7 @@ def crowd_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataF
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of each row.
+    """(doc_id, text_id, class_id, n_links, n_copies) of each row.
 
     A class holds the documents that links connect, and is named by its smallest doc_id; n_links counts the other
     texts at or over ``similarity``, n_copies the rows with the same text, this one included.
@@ -261,10 +261,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, target: f
     least = named.join(names, "component").groupBy("component").agg(F.min("first").alias("least"))
     result = materialize(
         named.join(least, "component", "left").join(counts, "id", "left")
-        .select("id", F.coalesce("least", "first")["doc_id"].alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")),
+        .select(F.col("id").alias("text_id"), F.coalesce("least", "first")["doc_id"].alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")),
         "forest-classes")
-    return docs.select("doc_id", text_id().alias("id")).join(result, "id").drop("id")
+    return docs.select("doc_id", text_id().alias("text_id")).join(result, "text_id").select("doc_id", "text_id", "class_id", "n_links", "n_copies")
 
 
 def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_id")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import filled, hashes, mix, ngrams, slices, words
-from ledgerloom.session import materialize
+from ledgerloom.llm.steps import materialize
 
 WINDOW, ANCHOR = 20, 8
 #: Bits of the anchor map, at most; smaller inputs get a smaller one.

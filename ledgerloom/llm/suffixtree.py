@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import filled, hashes, held_out, mix, slices, words
+from ledgerloom.llm.steps import release
 from ledgerloom.session import scratch_dir
 
 DEPTH, LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 3, 4, 2, 0.75
@@ -203,6 +204,7 @@ def _kept(blocks: DataFrame, absorb: Callable[[Block], dict[str, np.ndarray]], o
 def _written(rows: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(rows.sparkSession, label)
     rows.write.option("compression", "zstd").parquet(path)
+    release(rows.sparkSession)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import filled, hashes, mix, ngrams, slices, words
-from ledgerloom.session import materialize
+from ledgerloom.llm.steps import materialize
 
 SEED, COVER = 5, 0.6
 #: Bits of the map of seed hashes that tasks get: a fixed size; a full map only lets more rows through to the join.
