@@ -86,8 +86,7 @@ SELECT DATE '1998-01-01' + CAST(d AS INTEGER) AS snapshot_date,
             THEN DATE '1998-01-10' + CAST((p_partkey * 13 + lot * 37) % 500 AS INTEGER) END AS expiry_date,
        CASE WHEN lot = 0 THEN 'Released' ELSE 'PENDING' END AS qc_status,
        p_partkey % 17 = 0 AS hold_flag
-FROM part, range(5) w(wh), range(2) l(lot), range(60) dd(d)
-WHERE p_partkey % 7 = 0
+FROM part, range(5) w(wh), range(3) l(lot), range(20) dd(d)
 
 -- name: fact_settlement
 SELECT *, gross_sales - discounts - fees - refunds AS net_payout, 'STL-' || period AS settlement_id
@@ -123,7 +122,7 @@ SELECT 'INV-' || period AS invoice_no, CAST(no AS BIGINT) AS invoice_line_no, ch
        CASE WHEN no <> 9 THEN 'W' || (m % 5) END AS warehouse_id,
        last_day(CAST(period || '-01' AS DATE)) AS invoice_date
 FROM (SELECT DISTINCT strftime(ship_date, '%Y-%m') AS period, month(ship_date) AS m
-      FROM fact_shipment WHERE year(ship_date) = 1998) p,
+      FROM fact_shipment) p,
      (VALUES (1, 'LAST_MILE_PARCEL'), (2, 'FREIGHT_INTL_SEA'), (3, '3PL_STORAGE_FEE'), (5, 'DISPOSAL_FEE'),
              (9, 'PLATFORM_FEE')) AS c(no, charge_type)
 WHERE no <> 9 OR m = 1

@@ -102,8 +102,8 @@ SELECT 'year', CAST(date_trunc('year', ship_date) AS DATE), channel_store_id, su
 SELECT n.grain, n.bucket, n.channel_store_id, n.q AS current_qty, p.q AS previous_qty, n.q - p.q AS change_qty,
        CASE WHEN p.q > 0 THEN (n.q - p.q) * 100 / p.q END AS change_pct
 FROM grain_sums n
-LEFT JOIN grain_sums p ON n.grain = p.grain AND n.channel_store_id = p.channel_store_id
-  AND n.bucket = CAST(p.bucket + to_months(CAST(p.months AS INTEGER)) AS DATE)
+LEFT JOIN (SELECT grain, CAST(bucket + to_months(CAST(months AS INTEGER)) AS DATE) AS next_bucket, channel_store_id, q FROM grain_sums) p
+  ON n.grain = p.grain AND n.channel_store_id = p.channel_store_id AND n.bucket = p.next_bucket
 
 -- name: filter_options
 SELECT DISTINCT 'warehouse_id' AS kind, warehouse_id AS value FROM fact_shipment

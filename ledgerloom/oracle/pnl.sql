@@ -20,11 +20,12 @@ SELECT * FROM (VALUES
 SELECT c.invoice_no, c.invoice_line_no, c.charge_type, c.amount, c.period, c.currency,
        s.warehouse_id, s.channel_store_id, s.item_id, s.lot_id, s.shipment_id,
        s.qty_shipped AS qty, s.weight, s.volume_cbm
-FROM fact_charge_actual c
+FROM (SELECT a.*, w.warehouse_id IS NOT NULL AS own
+      FROM fact_charge_actual a
+      LEFT JOIN (SELECT DISTINCT strftime(ship_date, '%Y-%m') AS period, warehouse_id FROM fact_shipment) w
+        ON w.period = a.period AND w.warehouse_id = a.warehouse_id) c
 JOIN fact_shipment s
-  ON s.warehouse_id = c.warehouse_id
-  OR c.warehouse_id IS NULL
-  OR c.warehouse_id NOT IN (SELECT DISTINCT warehouse_id FROM fact_shipment)
+  ON strftime(s.ship_date, '%Y-%m') = c.period AND (s.warehouse_id = c.warehouse_id OR NOT c.own)
 
 -- name: allocation_basis
 SELECT invoice_no, invoice_line_no, charge_type, basis AS allocation_basis, basis_total, targets

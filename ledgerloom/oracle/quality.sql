@@ -33,7 +33,7 @@ FROM (SELECT DISTINCT charge_type FROM raw_charges WHERE charge_type = 'MYSTERY_
 
 -- name: upload_inventory_snapshot
 SELECT warehouse_id || '.csv' AS source_file_name,
-       ((CAST(item_id AS BIGINT) * 2 + CAST(lot_id[2:2] AS INTEGER)) * 60 + (snapshot_date - DATE '1998-01-01')) * 2 + c AS source_row_no,
+       ((CAST(item_id AS BIGINT) * 3 + CAST(lot_id[2:2] AS INTEGER)) * 60 + (snapshot_date - DATE '1998-01-01')) * 2 + c AS source_row_no,
        snapshot_date, warehouse_id, item_id, CASE WHEN k <> 3 THEN lot_id END AS lot_id,
        CASE WHEN k = 5 THEN -onhand_qty ELSE onhand_qty END AS onhand_qty, onhand_qty + k - 8 AS sellable_qty,
        CASE WHEN k = 1 THEN onhand_qty + 1 ELSE 1.0 END AS blocked_qty, CASE WHEN k <> 2 THEN 2.0::DOUBLE END AS reserved_qty

@@ -10,7 +10,7 @@ FROM (
              coalesce(sh.q, 0.0) AS shipments, coalesce(rt.q, 0.0) AS "returns", t.q AS actual_onhand,
              p.q + coalesce(rc.q, 0.0) - coalesce(sh.q, 0.0) + coalesce(rt.q, 0.0) AS expected_onhand
       FROM stock_daily t
-      JOIN stock_daily p ON p.d = t.d - 1 AND p.warehouse_id = t.warehouse_id AND p.item_id = t.item_id
+      JOIN (SELECT d + 1 AS next_d, warehouse_id, item_id, q FROM stock_daily) p ON p.next_d = t.d AND p.warehouse_id = t.warehouse_id AND p.item_id = t.item_id
       LEFT JOIN (SELECT receipt_date AS d, warehouse_id, item_id, CAST(sum(CAST(qty_received AS DECIMAL(18,4))) AS DOUBLE) AS q
                  FROM fact_receipt GROUP BY 1, 2, 3) rc
         ON rc.d = t.d AND rc.warehouse_id = t.warehouse_id AND rc.item_id = t.item_id

@@ -125,7 +125,7 @@ class Policy:
     # settlement reconciliation fall back to this rate.
     allocation_fx_default: float = 1.0
     # "all" spreads a charge over every shipment, "period" over its own month.
-    allocation_scope: str = "all"
+    allocation_scope: str = "period"
     # Returns reduce cost of goods per item; True attributes them by order.
     returns_by_store: bool = False
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import Catalog, table
 from ledgerloom.functions.exprs import literal_table, month
 
-SNAPSHOT_DAYS = 60
+SNAPSHOT_DAYS = 20
 
 
 def _text(c: str) -> Column:
@@ -155,9 +155,9 @@ def fact_receipt(cat: Catalog) -> DataFrame:
 def fact_inventory_snapshot(cat: Catalog) -> DataFrame:
     part = F.col("p_partkey")
     grid = (
-        cat.source("part").filter("p_partkey % 7 = 0").select("p_partkey")
+        cat.source("part").select("p_partkey")
         .withColumn("wh", F.explode(F.sequence(F.lit(0), F.lit(4))))
-        .withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        .withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(2))))
         .withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOT_DAYS - 1))))
     )
     shelf = ((part * 13 + F.col("lot") * 37) % 500).cast("int")
@@ -226,12 +226,9 @@ def fact_cost_structure(cat: Catalog) -> DataFrame:
 
 @table("fact_charge_actual")
 def fact_charge_actual(cat: Catalog) -> DataFrame:
-    """Four scoped charges per shipped month of 1998 and one unscoped fee."""
-    months = (
-        cat["fact_shipment"].filter("year(ship_date) = 1998")
-        .select(F.month("ship_date").alias("m")).distinct()
-    )
-    period = F.concat(F.lit("1998-"), F.lpad(F.col("m").cast("string"), 2, "0"))
+    """Four scoped charges per shipped month and one unscoped fee each January."""
+    months = cat["fact_shipment"].select(month("ship_date").alias("period"), F.month("ship_date").alias("m")).distinct()
+    period = F.col("period")
 
     def line(no: int, kind: str, amount: Column, warehouse: Column) -> Column:
         return F.struct(
@@ -246,7 +243,7 @@ def fact_charge_actual(cat: Catalog) -> DataFrame:
     ]
     fee = line(9, "PLATFORM_FEE", F.lit(777777), F.lit(None).cast("string"))
     lines = F.when(F.col("m") == 1, F.array(*scoped, fee)).otherwise(F.array(*scoped))
-    return months.select("m", F.inline(lines)).select(
+    return months.select("period", F.inline(lines)).select(
         F.lit("ERP").alias("source_system"),
         F.concat(F.lit("INV-"), period).alias("invoice_no"),
         "invoice_line_no",

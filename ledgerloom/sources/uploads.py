@@ -86,7 +86,7 @@ def upload_inventory_snapshot(cat: Catalog) -> DataFrame:
     df = cat["fact_inventory_snapshot"].withColumn("_copy", F.explode(copies))
     return df.select(
         F.concat("warehouse_id", F.lit(".csv")).alias("source_file_name"),
-        (((F.col("item_id").cast("bigint") * 2 + F.substring("lot_id", 2, 1).cast("int")) * 60 + day) * 2
+        (((F.col("item_id").cast("bigint") * 3 + F.substring("lot_id", 2, 1).cast("int")) * 60 + day) * 2
          + F.col("_copy")).alias("source_row_no"),
         "snapshot_date", "warehouse_id", "item_id", F.when(k != 3, F.col("lot_id")).alias("lot_id"),
         F.when(k == 5, -F.col("onhand_qty")).otherwise(F.col("onhand_qty")).alias("onhand_qty"),

