@@ -19,6 +19,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Chain:
+    """Tables that replace one another: writing the next one removes the one before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.last = spark, ""
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = session.scratch_dir(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        release(self.spark)
+        if self.last:
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.last)
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back."""
     out = session.materialize(df, label)

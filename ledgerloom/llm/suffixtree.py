@@ -28,13 +28,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import filled, hashes, held_out, mix, slices, words
-from ledgerloom.llm.steps import release
-from ledgerloom.session import scratch_dir
+from ledgerloom.llm.steps import Chain
 
 DEPTH, LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 3, 4, 2, 0.75
 BLOCK_BYTES = 8 << 20
@@ -44,6 +44,14 @@ _END = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _restored(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
 def write_blocks(docs: DataFrame) -> DataFrame:
     """(block, doc_ids, held, counts, codes, symbols): runs of texts with the hashes of their distinct words."""
 
@@ -55,7 +63,7 @@ def write_blocks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([np.packbits(batch.column("held_out").to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
-                pa.array([split.counts.astype(np.int64).tobytes()], pa.binary()), pa.array([split.codes.astype(np.int32).tobytes()], pa.binary()),
+                pa.array([_squeezed(split.counts.astype(np.int64))], pa.binary()), pa.array([_squeezed(split.codes.astype(np.int32))], pa.binary()),
                 pa.array([symbols.tobytes()], pa.binary())], ["block", "doc_ids", "held", "counts", "codes", "symbols"])
             number += 1
 
@@ -68,14 +76,14 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.row = row
-        counts = np.frombuffer(row["counts"], np.int64)
+        counts = _restored(row["counts"], np.int64)
         self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(counts)).astype(bool)
         self.starts = np.concatenate([[0], np.cumsum(counts + 1)])
         symbols = np.append(np.frombuffer(row["symbols"], np.uint64), _END)
         codes = np.full(self.starts[-1], len(symbols) - 1, np.int64)
         is_word = np.ones(self.starts[-1], bool)
         is_word[self.starts[1:] - 1] = False
-        codes[is_word] = np.frombuffer(row["codes"], np.int32)
+        codes[is_word] = _restored(row["codes"], np.int32)
         self.symbols, self.codes = symbols, codes
         self.token = symbols[codes]
         self.owner = np.repeat(np.arange(len(counts)), counts + 1)
@@ -84,7 +92,12 @@ class Block:
 
     def array(self, name: str, kind: type, size: int) -> np.ndarray:
         found = self.row.get(name)
-        return np.frombuffer(found, kind) if found is not None else np.zeros(size, kind)
+        return _restored(found, kind) if found is not None else np.zeros(size, kind)
+
+    @property
+    def word_n(self) -> np.ndarray:
+        """How often each token occurs in the training texts."""
+        return self.array("word_n", np.int64, len(self.symbols))[self.codes]
 
     def before(self, values: np.ndarray, fill) -> np.ndarray:
         """What the token before has; ``fill`` for the first token of a text."""
@@ -141,7 +154,7 @@ def exchange(blocks: DataFrame, ask: Question, sent: dict[str, type], answer: An
                 present, first = _ranges(keys, parts)
                 cut = list(zip(first, first[1:], strict=False))
                 blobs = [pa.array([_pack(keys[a:b], wide) for a, b in cut], pa.binary())]
-                blobs += [pa.array([np.ascontiguousarray(values[c][a:b].astype(kind)).tobytes() for a, b in cut], pa.binary()) for c, kind in sent.items()]
+                blobs += [pa.array([_squeezed(values[c][a:b].astype(kind)) for a, b in cut], pa.binary()) for c, kind in sent.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(present), pa.int64()), pa.array(present), *blobs], ["block", "part", "keys", *sent])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +163,7 @@ def exchange(blocks: DataFrame, ask: Question, sent: dict[str, type], answer: An
             return
         keys = [_unpack(r["keys"], wide) for r in rows]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        values = {c: np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in sent.items()}
+        values = {c: np.concatenate([_restored(r[c], kind) for r in rows]) for c, kind in sent.items()}
         sums = {c: np.bincount(inverse, v, len(every)) if c[0] != "=" else _last(inverse, v, len(every)) for c, v in values.items()}
         told = answer(every, inverse, sums)
         ends = np.cumsum([len(k) for k in keys])
@@ -160,7 +173,7 @@ def exchange(blocks: DataFrame, ask: Question, sent: dict[str, type], answer: An
         for row, k, end in zip(rows, keys, ends, strict=True):
             mine = inverse[end - len(k) : end]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int64()), *(pa.array([told[c][mine].astype(kind).tobytes()], pa.binary()) for c, kind in got.items()),
+                [pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int64()), *(pa.array([_squeezed(told[c][mine].astype(kind))], pa.binary()) for c, kind in got.items()),
                  pa.array([np.packbits(owner[end - len(k) : end]).tobytes()], pa.binary()), pa.array([len(k)], pa.int64())],
                 ["block", "part", *got, "owner", "size"])
 
@@ -178,14 +191,14 @@ def _last(inverse: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _told(row: dict, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(t[name], kind) for t in row["told"]] or [np.zeros(0, kind)]) if row["told"] else np.zeros(0, kind)
+    return np.concatenate([_restored(t[name], kind) for t in row["told"]] or [np.zeros(0, kind)]) if row["told"] else np.zeros(0, kind)
 
 
 def _owned(row: dict) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(t["owner"], np.uint8), count=t["size"]).astype(bool) for t in row["told"] or []] or [np.zeros(0, bool)])
 
 
-def _kept(blocks: DataFrame, absorb: Callable[[Block], dict[str, np.ndarray]], old: list[str], new: list[str], label: str) -> DataFrame:
+def _kept(chain: Chain, blocks: DataFrame, absorb: Callable[[Block], dict[str, np.ndarray]], old: list[str], new: list[str], label: str) -> DataFrame:
     """Blocks with columns from ``absorb`` instead of the answers, written to the shared folder."""
     base = ["block", "doc_ids", "held", "counts", "codes", "symbols"]
     names = [*base, *dict.fromkeys([*old, *new])]
@@ -193,19 +206,12 @@ def _kept(blocks: DataFrame, absorb: Callable[[Block], dict[str, np.ndarray]], o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                row |= {k: v.tobytes() for k, v in absorb(Block(row)).items()}
+                row |= {k: _squeezed(v) for k, v in absorb(Block(row)).items()}
                 yield pa.RecordBatch.from_arrays([pa.array([row[n]], schema[n]) for n in names], names)
 
     schema = {n: pa.binary() for n in names} | {"block": pa.int64(), "doc_ids": pa.list_(pa.int64())}
     text = ", ".join(f"{n} {({'block': 'long', 'doc_ids': 'array<long>'}).get(n, 'binary')}" for n in names)
-    return _written(blocks.mapInArrow(run, text), label)
-
-
-def _written(rows: DataFrame, label: str) -> DataFrame:
-    path = scratch_dir(rows.sparkSession, label)
-    rows.write.option("compression", "zstd").parquet(path)
-    release(rows.sparkSession)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return chain.write(blocks.mapInArrow(run, text), label)
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -215,7 +221,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, int(size // (6 * SHARE_WORDS)))
-    blocks = _written(write_blocks(docs), "tree-blocks")
+    chain = Chain(docs.sparkSession)
+    blocks = chain.write(write_blocks(docs), "tree-blocks")
 
     def word_counts(block: Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         counts = np.bincount(block.codes, block.trained, len(block.symbols))
@@ -225,7 +232,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def count_of(block: Block) -> dict[str, np.ndarray]:
         out = np.zeros(len(block.symbols), np.int64)
         out[np.argsort(block.symbols)] = _told(block.row, "total", np.int64)
-        return {"word_n": out[block.codes].astype(np.int32)}
+        return {"word_n": out}
 
     asked = exchange(blocks, word_counts, {"n": np.int64}, lambda _, __, sums: {"total": sums["n"]}, {"total": np.int64}, parts, wide=True)
 
@@ -235,17 +242,17 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 total, owned = _told(row, "total", np.int64), _owned(row)
                 yield pa.RecordBatch.from_arrays([pa.array([int(total[owned].sum())]), pa.array([int((total[owned] > 0).sum())])], ["n", "v"])
 
-    asked = _written(asked, "tree-words")
+    asked = chain.write(asked, "tree-words")
     total, distinct = (int(x or 0) for x in asked.mapInArrow(sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    blocks = _kept(asked, count_of, [], ["word_n"], "tree-0")
+    blocks = _kept(chain, asked, count_of, [], ["word_n"], "tree-0")
     cost = 0.5 * np.log(max(total, 2))
 
     def root(block: Block) -> np.ndarray:
-        return (block.array("word_n", np.int32, 0).astype(np.float64) + 1) / (total + distinct + 1)
+        return (block.word_n.astype(np.float64) + 1) / (total + distinct + 1)
 
     def context_n(block: Block, level: int) -> np.ndarray:
         """How often the context of each token occurs in training; 0 if it is no candidate."""
-        n = block.array("word_n", np.int32, 0) if level == 1 else block.array(f"next_n{level - 1}", np.int32, 0)
+        n = block.word_n if level == 1 else block.array(f"next_n{level - 1}", np.int32, 0)
         out = block.before(n, 0).astype(np.int64)
         if level == 1:
             # The end mark before a text occurs once for each training text.
@@ -267,7 +274,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         def pairs(block: Block, level: int = level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Candidate tokens, and their (context, next word) keys with the inverse."""
-            at = np.flatnonzero((context_n(block, level) > 0) & (block.array("word_n", np.int32, 0) >= LEAST_NEXT))
+            at = np.flatnonzero((context_n(block, level) > 0) & (block.word_n >= LEAST_NEXT))
             keys, inverse = np.unique(mix(block.contexts(level)[at] * _STEP + block.token[at]), return_inverse=True)
             return at, keys, inverse
 
@@ -292,7 +299,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         def divergence(block: Block, contexts=contexts, level: int = level) -> tuple[np.ndarray, dict[str, np.ndarray]]:
             at, keys, inverse = contexts(block)
             n, seen = context_n(block, level)[at], block.array(f"next_n{level}", np.int32, 0)[at]
-            owned = np.unpackbits(np.frombuffer(block.row["owned"], np.uint8), count=len(block.codes)).astype(bool)[at] & (seen >= LEAST_NEXT)
+            owned = np.unpackbits(block.array("owned", np.uint8, 0), count=len(block.codes)).astype(bool)[at] & (seen >= LEAST_NEXT)
             above = chances(block, level - 1)[at]
             gain = np.where(owned, seen * np.log(np.maximum(seen, 1) / n / above), 0)
             add = {"gain": gain, "mass": np.where(owned, above, 0), "seen": np.where(owned, seen, 0), "listed": owned}
@@ -312,10 +319,10 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return {f"left{level}": out}
 
         asked = exchange(blocks, next_counts, {"n": np.int32}, lambda _, __, sums: {"total": sums["n"]}, {"total": np.int32}, parts)
-        blocks = _kept(asked, next_of, known, [f"next_n{level}", "owned"], f"tree-{level}-next")
+        blocks = _kept(chain, asked, next_of, known, [f"next_n{level}", "owned"], f"tree-{level}-next")
         asked = exchange(blocks, divergence, {"gain": np.float64, "mass": np.float64, "seen": np.int64, "listed": np.int32, "=n": np.int64}, retain, {"left": np.float32}, parts)
         known += [f"next_n{level}", f"left{level}"]
-        blocks = _kept(asked, left_of, known, [], f"tree-{level}")
+        blocks = _kept(chain, asked, left_of, known, [], f"tree-{level}")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +336,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(block.held), pa.array(np.diff(block.starts)),
-                    pa.array(by_text(block.array("word_n", np.int32, 0) > 0).astype(np.int64)), pa.array(np.full(n, total)),
+                    pa.array(by_text(block.word_n > 0).astype(np.int64)), pa.array(np.full(n, total)),
                     pa.array(by_text(np.log10(root(block)))), pa.array(by_text(np.log10(chances(block, depth)))), pa.array(by_text(state).astype(np.int64)),
                 ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "states"])
 
