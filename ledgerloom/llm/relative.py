@@ -144,6 +144,21 @@ def repeated_anchors(docs: DataFrame, parts: int, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+#: What a slice asks of a window, and what it knows of the windows that repeat within it.
+_ASKED = ("one", "two", "key", "uid", "start")
+_REPEATS = ("again_uid", "again_start", "again_ref_key", "again_ref_uid", "again_ref_start")
+
+
+def _sightings(one: np.ndarray, two: np.ndarray, key: np.ndarray, uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sightings by window and place; in it, where the first of each one's window is, and which are later places."""
+    order = np.lexsort((start, uid, key, two, one))
+    one, two, uid, start = (c[order] for c in (one, two, uid, start))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    first = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(order) else np.zeros(0, np.int64)
+    return order, first, (uid != uid[first]) | (start != start[first])
+
+
 def _bit(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values) & np.uint64(bits - 1)).astype(np.int64)
 
@@ -165,26 +180,34 @@ def factors(docs: DataFrame) -> DataFrame:
             one, two = found.hashed(at)
             keys, uids = _uids(batch)
             owner = np.searchsorted(found.starts, at, side="right") - 1
-            order, present, first = _parts(one, parts)
-            columns = [c[order] for c in (one, two, keys[owner], uids[owner], at - found.starts[owner])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(present), *(pa.array([c[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary()) for c in columns)],
-                ["part", "one", "two", "key", "uid", "start"])
+            key, uid, start = keys[owner], uids[owner], at - found.starts[owner]
+            # Only the earliest sighting of a window in this slice has to meet the others; the rest repeat it.
+            order, first, later = _sightings(one, two, key, uid, start)
+            lead = order[np.unique(first)]
+            one, two, mine = one[lead], two[lead], [c[lead] for c in (key, uid, start)]
+            again, origin = order[later], order[first[later]]
+            rest = [uid[again], start[again], key[origin], uid[origin], start[origin]]
+            by_hash, to, cut = _parts(one, parts)
+            asked = dict(zip(to.tolist(), zip(cut, cut[1:], strict=False), strict=True))
+            by_text, home, cut = _parts(mix(rest[0].view(np.uint64)), parts)
+            known = dict(zip(home.tolist(), zip(cut, cut[1:], strict=False), strict=True))
+            present = sorted({*asked, *known})
+            blobs = [pa.array([c[by_hash][slice(*asked.get(p, (0, 0)))].tobytes() for p in present], pa.binary()) for c in (one, two, *mine)]
+            blobs += [pa.array([c[by_text][slice(*known.get(p, (0, 0)))].tobytes() for p in present], pa.binary()) for c in rest]
+            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), *blobs], ["part", *_ASKED, *_REPEATS])
 
     def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: [] for c in ("one", "two", "key", "uid", "start")}
+        held = {c: [np.zeros(0, np.int64)] for c in (*_ASKED, *_REPEATS)}
         for batch in batches:
             for name, rows in held.items():
-                rows.extend(np.frombuffer(b, np.uint64 if name in ("one", "two") else np.int64) for b in batch.column(name).to_pylist())
-        if not held["one"]:
+                rows.extend(np.frombuffer(b, np.int64) for b in batch.column(name).to_pylist())
+        one, two, key, uid, start = (np.concatenate(held[c]) for c in _ASKED)
+        order, first, later = _sightings(one, two, key, uid, start)
+        again, origin = order[later], order[first[later]]
+        found = (uid[again], start[again], key[origin], uid[origin], start[origin])
+        uid, start, ref_key, ref_uid, ref_start = (np.concatenate([x, *held[c]]) for x, c in zip(found, _REPEATS, strict=True))
+        if not len(uid):
             return
-        one, two, key, uid, start = (np.concatenate(held[c]) for c in held)
-        order = np.lexsort((start, uid, key, two, one))
-        one, two, key, uid, start = (c[order] for c in (one, two, key, uid, start))
-        opens = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-        later = (uid != uid[first]) | (start != start[first])
-        key, uid, start, ref_key, ref_uid, ref_start = (c[later] for c in (key, uid, start, key[first], uid[first], start[first]))
         home = (mix(uid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         present, cut = np.unique(home[order], return_index=True)
@@ -218,7 +241,7 @@ def factors(docs: DataFrame) -> DataFrame:
             [pa.array(start[opens]), pa.array(length), pa.array(ref_key[opens]), pa.array(ref_start[opens])], ["start", "length", "ref_key", "ref_start"])
         yield pa.RecordBatch.from_arrays([pa.array(texts), pa.ListArray.from_arrays(offsets, spans)], ["uid", "spans"])
 
-    blobs = keyed.mapInArrow(candidates, "part long, one binary, two binary, key binary, uid binary, start binary")
+    blobs = keyed.mapInArrow(candidates, "part long, " + ", ".join(f"{c} binary" for c in (*_ASKED, *_REPEATS)))
     met = blobs.groupBy("part").applyInArrow(earliest, "home long, uid binary, start binary, ref_key binary, ref_uid binary, ref_start binary")
     return met.groupBy("home").applyInArrow(parse, "uid long, spans array<struct<start:long,length:long,ref_key:long,ref_start:long>>")
 
