@@ -116,24 +116,30 @@ class Block:
         return mix(key + np.uint64(level))
 
 
-def _ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys cut into even ranges: which there are, and where each starts."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    present, first = np.unique(part, return_index=True)
-    return present.astype(np.int64), np.append(first, len(keys))
+def _ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending keys cut into even ranges: which there are, where each starts, and 40 bits of each key's place in its range."""
+    low = (keys & np.uint64(0xFFFFFFFF)) * np.uint64(parts)
+    scaled = (keys >> np.uint64(32)) * np.uint64(parts) + (low >> np.uint64(32))
+    place = (scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | (low & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
+    present, first = np.unique(scaled >> np.uint64(32), return_index=True)
+    return present.astype(np.int64), np.append(first, len(keys)), place
 
 
-def _pack(keys: np.ndarray, wide: bool) -> bytes:
-    """Keys as 8 bytes each, or as their low 5 bytes."""
-    return keys.tobytes() if wide else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _pack(keys: np.ndarray, places: np.ndarray, wide: bool) -> bytes:
+    """Whole keys, or the steps between their places, which are short numbers."""
+    if wide:
+        return keys.tobytes()
+    steps = np.diff(places, prepend=np.uint64(0))
+    return _squeezed(steps.view(np.uint8).reshape(-1, 8)[:, :5].T)
 
 
 def _unpack(blob: bytes, wide: bool) -> np.ndarray:
     if wide:
         return np.frombuffer(blob, np.uint64)
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    flat = _restored(blob, np.uint8).reshape(5, -1).T
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :5] = flat
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 Question = Callable[[Block], tuple[np.ndarray, dict[str, np.ndarray]]]
@@ -151,9 +157,9 @@ def exchange(blocks: DataFrame, ask: Question, sent: dict[str, type], answer: An
         for batch in batches:
             for row in batch.to_pylist():
                 keys, values = ask(Block(row))
-                present, first = _ranges(keys, parts)
+                present, first, places = _ranges(keys, parts)
                 cut = list(zip(first, first[1:], strict=False))
-                blobs = [pa.array([_pack(keys[a:b], wide) for a, b in cut], pa.binary())]
+                blobs = [pa.array([_pack(keys[a:b], places[a:b], wide) for a, b in cut], pa.binary())]
                 blobs += [pa.array([_squeezed(values[c][a:b].astype(kind)) for a, b in cut], pa.binary()) for c, kind in sent.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(present), pa.int64()), pa.array(present), *blobs], ["block", "part", "keys", *sent])
 
