@@ -41,6 +41,7 @@ def sql_for(name: str) -> str:
 
     visit(name)
     known = relations()
-    ctes = [f"{n} AS (\n{known[n]}\n)" for n in order if n != name]
+    # Relations are reached many times; without MATERIALIZED each mention is planned anew.
+    ctes = [f"{n} AS MATERIALIZED (\n{known[n]}\n)" for n in order if n != name]
     head = "WITH " + ",\n".join(ctes) + "\n" if ctes else ""
     return head + known[name]

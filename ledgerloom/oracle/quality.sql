@@ -107,10 +107,8 @@ FROM (
   UNION ALL SELECT 'date_range_' || unnest(['future', 'past']) || '_invoice_date', 'MEDIUM', true, 0
   UNION ALL SELECT 'duplicate_business_keys', 'HIGH', true, 0
   UNION ALL SELECT * FROM dq_charge_types
-  UNION ALL SELECT 'period_continuity', 'MEDIUM', max(month(CAST(period || '-01' AS DATE))) - min(month(CAST(period || '-01' AS DATE))) + 1
-                     = count(DISTINCT period),
-                   max(month(CAST(period || '-01' AS DATE))) - min(month(CAST(period || '-01' AS DATE))) + 1 - count(DISTINCT period)
-            FROM raw_charges) c
+  UNION ALL SELECT 'period_continuity', 'MEDIUM', max(m) - min(m) + 1 = count(DISTINCT m), max(m) - min(m) + 1 - count(DISTINCT m)
+            FROM (SELECT CAST(left(period, 4) AS BIGINT) * 12 + CAST(right(period, 2) AS BIGINT) AS m FROM raw_charges) p) c
 
 -- name: dq_gate
 SELECT file_name, count(*) FILTER (WHERE NOT passed AND severity IN ('CRITICAL', 'HIGH')) AS failures,
