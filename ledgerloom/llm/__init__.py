@@ -27,6 +27,7 @@ _QUERIES = {
     "op8_substring_dedup": "relative",
     "op9_language_id": "language",
     "op10_byte_bpe": "bpe",
+    "op13_centroid_clustering": "centroids",
 }
 
 
