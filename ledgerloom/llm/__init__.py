@@ -27,6 +27,8 @@ _QUERIES = {
     "op8_substring_dedup": "relative",
     "op9_language_id": "language",
     "op10_byte_bpe": "bpe",
+    "op11_collocations": "collocations",
+    "op12_secret_scan": "secrets",
     "op13_centroid_clustering": "centroids",
 }
 
