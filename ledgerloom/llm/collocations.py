@@ -9,7 +9,9 @@ corpus, not a task: it is mined by as many tasks as it has slices.
    occurs ``support * (words of the shard / words of the language)`` times, rounded up, in at
    least one shard, so that is the support asked there. Phrases are mined by length; one of
    ``k`` words is counted only if both its parts of ``k - 1`` words are frequent somewhere.
-   Here phrases are 64-bit hashes: two that collide make a candidate more, never less.
+   Here phrases are hashes with the shard in their lowest bits: two that collide make a
+   candidate more, never less. What is summed is the share of the support asked, so that
+   one number a phrase goes through the shuffle.
 2. The union of what is frequent in some shard becomes a bit map of fixed size at most.
    A map that fills up lets more phrases through, it loses none.
 3. All candidates are counted over all shards, as words, exactly; those below ``support`` go.
@@ -30,6 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ SHARDS = 3
 MAP_BITS = 1 << 28
 #: Bits of a piece of the map, and phrases ranked in one group, on average.
 PIECE_BITS, GROUP_ROWS = 1 << 16, 2_000_000
+#: Text bytes of a slice, and what the support of a shard counts as.
+PHRASE_BYTES, WHOLE = 4 << 20, 1 << 32
 
 _WORD, _BLANK, _STOP = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -76,11 +81,12 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray
 
 
 def encode(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """A row for each slice and language: (lang, shard, n, words, codes, opens)."""
+    """A row for each slice and language: (lang, shard, n, words, codes, opens), the last three compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
-        for batch in slices(batches):
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, limit=PHRASE_BYTES):
             codes, distinct, owner, opens = split(filled(batch, "text"))
             langs = batch.column("lang").dictionary_encode()
             of_word = langs.indices.to_numpy(zero_copy_only=False)[owner]
@@ -88,25 +94,26 @@ def encode(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             present, first = np.unique(of_word[order], return_index=True)
             for lang, mine in zip(present, np.split(order, first[1:]), strict=False):
                 used, code = np.unique(codes[mine], return_inverse=True)
-                own = distinct.take(pa.array(used))
+                own = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), distinct.take(pa.array(used))), " ")[0].as_py()
+                parts = [small.compress(x) for x in (own.encode(), code.astype(np.int32).tobytes(), np.packbits(opens[mine]).tobytes())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs.dictionary[int(lang)].as_py()]), pa.array([shard], pa.int32()), pa.array([len(mine)], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                     pa.array([code.astype(np.int32).tobytes()], pa.binary()), pa.array([np.packbits(opens[mine]).tobytes()], pa.binary())],
+                    [pa.array([langs.dictionary[int(lang)].as_py()]), pa.array([shard], pa.int32()), pa.array([len(mine)], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)],
                     ["lang", "shard", "n", "words", "codes", "opens"])
 
     whole = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return whole.mapInArrow(run, "lang string, shard int, n long, words array<string>, codes binary, opens binary")
+    return whole.mapInArrow(run, "lang string, shard int, n long, words binary, codes binary, opens binary")
 
 
 class Block:
     """The words of one slice in one language."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
-        self.lang = batch.column("lang")[i].as_py()
-        self.words = batch.column("words")[i].values
-        self.codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-        self.opens = np.unpackbits(np.frombuffer(batch.column("opens")[i].as_py(), np.uint8), count=len(self.codes)).astype(bool)
+    def __init__(self, row: dict) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.lang = row["lang"]
+        # Words have no blanks in them.
+        self.words = pc.split_pattern(pa.scalar(unpack(row["words"]).decode()), " ").values
+        self.codes = np.frombuffer(unpack(row["codes"]), np.int32)
+        self.opens = np.unpackbits(np.frombuffer(unpack(row["opens"]), np.uint8), count=len(self.codes)).astype(bool)
         self._salt = hashes(pa.array([self.lang]), 1)[0]
         self._symbols = hashes(self.words)[self.codes]
 
@@ -131,10 +138,6 @@ class Block:
         return (pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]), counts
 
 
-def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys & np.uint64(bits - 1)).astype(np.int64)
-
-
 def bit_map(keys: DataFrame, limit: int = MAP_BITS) -> np.ndarray:
     """A bit map of the hashes in column ``key``, with 16 bits for each or ``limit`` in all."""
     bits = int(min(limit, max(PIECE_BITS, 1 << int(16 * keys.count()).bit_length())))
@@ -159,7 +162,7 @@ def bit_map(keys: DataFrame, limit: int = MAP_BITS) -> np.ndarray:
 
 
 def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = _bit(keys, len(bits) * 8)
+    place = (keys & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -167,7 +170,8 @@ def _by_block(work: Callable[[Block, dict], Iterator[pa.RecordBatch]]) -> Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from work(Block(batch, i), batch.slice(i, 1))
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield from work(Block(row), row)
 
     return run
 
@@ -182,6 +186,7 @@ def count_phrases(docs: DataFrame, max_words: int = MAX_WORDS, support: int = SU
     asked = F.expr(f"cast((cast({support} as decimal(20,0)) * own + n - 1) div n as long)")
     shares = materialize(shares.select("lang", "shard", "n", asked.alias("need")), "phrase-shares")
     known = blocks.drop("n").join(shares.drop("n"), ["lang", "shard"])
+    low = (shards - 1).bit_length()
     maps: dict[int, object] = {}
 
     def candidates(block: Block, size: int) -> np.ndarray:
@@ -194,17 +199,16 @@ def count_phrases(docs: DataFrame, max_words: int = MAX_WORDS, support: int = SU
 
     for size in range(1, max_words + 1):
 
-        def mine(block: Block, row: pa.RecordBatch, size: int = size) -> Iterator[pa.RecordBatch]:
+        def mine(block: Block, row: dict, size: int = size) -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(block.keys(size)[candidates(block, size)], return_counts=True)
-            same = [pa.array(np.full(len(keys), row.column(c)[0].as_py()), t) for c, t in (("shard", pa.int32()), ("need", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *same, pa.array(counts)], ["key", "shard", "need", "n"])
+            keys = keys << np.uint64(low) | np.uint64(row["shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts * -(-WHOLE // row["need"]))], ["key", "share"])
 
-        # Hashes that collide across languages may ask for different support: the least one holds.
-        counted = known.mapInArrow(_by_block(mine), "key long, shard int, need long, n long").groupBy("key", "shard")
-        frequent = counted.agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("key").distinct()
+        counted = known.mapInArrow(_by_block(mine), "key long, share long").groupBy("key").agg(F.sum("share").alias("share"))
+        frequent = counted.filter(F.col("share") >= WHOLE).select(F.shiftrightunsigned("key", low).alias("key"))
         maps[size] = sc.broadcast(bit_map(materialize(frequent, f"frequent-{size}")))
 
-    def count(block: Block, row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def count(block: Block, _: dict) -> Iterator[pa.RecordBatch]:
         for size in range(1, max_words + 1):
             places = candidates(block, size)
             phrases, counts = block.counted(places[_holds(maps[size].value, block.keys(size)[places])], size)
