@@ -49,7 +49,7 @@ MAP_BITS = 1 << 28
 #: Bits of a piece of the map, and phrases ranked in one group, on average.
 PIECE_BITS, GROUP_ROWS = 1 << 16, 2_000_000
 #: Text bytes of a slice, and what the support of a shard counts as.
-PHRASE_BYTES, WHOLE = 4 << 20, 1 << 32
+PHRASE_BYTES, WHOLE = 2 << 20, 1 << 32
 
 _WORD, _BLANK, _STOP = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
