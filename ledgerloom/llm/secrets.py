@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.steps import materialize
 from ledgerloom.llm.text import filled, slices, words
 
 # The base patterns in the order of their kinds, and the least length of a match.
@@ -66,7 +67,15 @@ def identifiers(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
             yield pa.RecordBatch.from_arrays([split.distinct.take(pa.array(fits)), pa.array(counts[fits])], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()][::-1]
+    # Eighths of a power of two, some hundreds at most, tell from which count on there are enough words:
+    # otherwise every task would send its own first ``size`` words to the driver.
+    counted = materialize(counted.withColumn("step", F.floor(F.log2("n") * 8)), "identifiers")
+    enough, least = 0, 0
+    for row in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+        enough, least = enough + row["count"], row["step"]
+        if enough >= size:
+            break
+    return [r["word"] for r in counted.filter(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(size).collect()][::-1]
 
 
 class Novelty:
