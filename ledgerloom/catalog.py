@@ -31,6 +31,7 @@ _MODULES = [
     "ledgerloom.plans.coverage",
     "ledgerloom.plans.anomaly",
     "ledgerloom.plans.ingest",
+    "ledgerloom.plans.rollback",
     "ledgerloom.plans.quality",
     "ledgerloom.plans.dashboards",
     "ledgerloom.plans.planning",

@@ -117,7 +117,23 @@ FROM file_log GROUP BY 1
 SELECT batch_id FROM batch_log ORDER BY batch_id DESC LIMIT 3
 
 -- name: rollback_batches
-SELECT * FROM promote_latest WHERE load_batch_id NOT IN (SELECT batch_id FROM last_batches)
+SELECT shipment_id, item_id, lot_id, ship_date, warehouse_id, qty_shipped, weight, channel_order_id,
+       source_system, batch_id AS load_batch_id, md5(source_file_name) AS source_file_hash, CAST(raw_id AS VARCHAR) AS source_pk
+FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id, item_id, lot_id ORDER BY batch_id DESC, raw_id DESC) AS left_rn
+      FROM upload_clean WHERE batch_id NOT IN (SELECT batch_id FROM last_batches)) x
+WHERE left_rn = 1
+
+-- name: rollback_facts
+SELECT 'fact_order' AS table_name, count(*) FILTER (md5(CAST(channel_order_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(qty_ordered AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_order
+UNION ALL SELECT 'fact_shipment' AS table_name, count(*) FILTER (md5(CAST(shipment_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(qty_shipped AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_shipment
+UNION ALL SELECT 'fact_return' AS table_name, count(*) FILTER (md5(CAST(return_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(qty_returned AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_return
+UNION ALL SELECT 'fact_inventory_snapshot' AS table_name, count(*) FILTER (md5(CAST(snapshot_date AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(onhand_qty AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_inventory_snapshot
+UNION ALL SELECT 'fact_po' AS table_name, count(*) FILTER (md5(CAST(po_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(qty_ordered AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_po
+UNION ALL SELECT 'fact_receipt' AS table_name, count(*) FILTER (md5(CAST(receipt_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(qty_received AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_receipt
+UNION ALL SELECT 'fact_settlement' AS table_name, count(*) FILTER (md5(CAST(settlement_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(net_payout AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_settlement
+UNION ALL SELECT 'fact_charge_actual' AS table_name, count(*) FILTER (md5(CAST(invoice_no AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(amount AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_charge_actual
+UNION ALL SELECT 'fact_exchange_rate' AS table_name, count(*) FILTER (md5(CAST(period AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(rate_to_krw AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_exchange_rate
+UNION ALL SELECT 'fact_cost_structure' AS table_name, count(*) FILTER (md5(CAST(item_id AS VARCHAR))[1] < '5') AS merged_rows, count(*) AS row_count, CAST(sum(CAST(cost_per_unit_krw AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS last_batch FROM fact_cost_structure
 
 -- name: rollback_batch_log
 SELECT * REPLACE (CASE WHEN batch_id IN (SELECT batch_id FROM last_batches) THEN 'rolled_back' ELSE batch_status END AS batch_status)

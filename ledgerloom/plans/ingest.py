@@ -144,16 +144,6 @@ def last_batches(batch_log: DataFrame, n: int) -> DataFrame:
     return batch_log.select("batch_id").orderBy(F.desc("batch_id")).limit(n)
 
 
-def rollback(facts: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of other batches only; ``gone`` holds one row per undone batch."""
-    return facts.join(gone.select(F.col("batch_id").alias("load_batch_id")), "load_batch_id", "left_anti")
-
-
-@query("rollback_batches")
-def rollback_batches(cat: Catalog) -> DataFrame:
-    return rollback(cat["promote_latest"], last_batches(cat["batch_log"], 3))
-
-
 @query("rollback_batch_log")
 def rollback_batch_log(cat: Catalog) -> DataFrame:
     gone = last_batches(cat["batch_log"], 3).withColumn("_gone", F.lit(True))

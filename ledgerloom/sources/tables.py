@@ -43,7 +43,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -74,7 +74,7 @@ def merge_into(staging: DataFrame, table: str, path: str) -> DataFrame:
         "partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
     left = {r[0] for r in merged.select(MONTH).distinct().collect()}
     for gone in set(months) - left:
-        _drop(spark, f"{path}/{MONTH}={gone}")
+        drop_path(spark, f"{path}/{MONTH}={gone}")
     return spark.read.schema(staged.schema).parquet(path)
 
 
