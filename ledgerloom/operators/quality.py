@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import literal_table
@@ -148,6 +148,60 @@ def run_all(
     return out
 
 
+#: Offending rows that a quantity check names.
+SAMPLE_ROWS = 5
+
+
+def samples(df: DataFrame, by: str, row_no: str, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """(by, check_name, sample): the first ``SAMPLE_ROWS`` row numbers that break each check.
+
+    The rank is asked for below a constant, so every task sends at most that many rows per
+    group into the shuffle, however many offend.
+    """
+    broken = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, _, cond in checks]), lambda x: x.isNotNull())
+    hits = df.select(by, row_no, F.explode(broken).alias("check_name"))
+    w = Window.partitionBy(by, "check_name").orderBy(row_no)
+    first = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= SAMPLE_ROWS)
+    return first.groupBy(by, "check_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row_no)), lambda r: r.cast("string")), ", ").alias("sample"))
+
+
+def report_by_file(df: DataFrame, table: str, policy: Policy, by: str, row_no: str | None = None) -> DataFrame:
+    """The whole rule set for each file: (by, check_name, severity, passed, bad_rows, sample).
+
+    One pass counts all row checks; keys, charge types and months are aggregated within the
+    file. ``row_no`` numbers the rows of a file from 1; without it no rows are named. A file
+    without rows has no report.
+    """
+    quantities = quantity_range(df)
+    single = [*null_keys(df, table), *type_coercion(df, table), *quantities, *amount_outlier(df, policy), *date_range(df, table, policy)]
+    keys = [k for k in CONTRACTS[table].key if k in df.columns]
+    per_key = df.groupBy(by, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    extra = per_key.groupBy(by).agg((F.sum("_n") - F.count(F.lit(1))).alias("_twice"))
+    facts = df.groupBy(by).agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(single)]).join(extra, by)
+    missing = [c for c in CONTRACTS[table].required if c.lower() not in {x.lower() for x in df.columns}]
+    checks = [("required_columns", "CRITICAL", F.lit(len(missing)))]
+    checks += [(name, severity, F.col(f"c{i}")) for i, (name, severity, _) in enumerate(single)]
+    checks.append(("duplicate_business_keys", "HIGH", F.col("_twice")))
+    if table == "fact_charge_actual" and "charge_type" in df.columns:
+        known = policy.charge_policy(df.sparkSession).select("charge_type")
+        unknown = df.select(by, "charge_type").distinct().join(F.broadcast(known), "charge_type", "left_anti").groupBy(by).agg(F.count(F.lit(1)).alias("_unknown"))
+        facts = facts.join(unknown, by, "left")
+        checks.append(("charge_type_validation", "HIGH", F.col("_unknown")))
+    if "period" in df.columns:
+        stamp = F.trim(F.col("period"))
+        number = F.when(stamp.rlike("^[0-9]{4}-[0-9]{2}"), F.substring(stamp, 1, 4).cast("int") * 12 + F.substring(stamp, 6, 2).cast("int"))
+        months = df.select(by, number.alias("_m")).filter("_m IS NOT NULL").distinct().groupBy(by).agg((F.max("_m") - F.min("_m") + 1 - F.count(F.lit(1))).alias("_gaps"))
+        facts = facts.join(months, by, "left")
+        checks.append(("period_continuity", "MEDIUM", F.col("_gaps")))
+    bad = [F.coalesce(n, F.lit(0)).cast("bigint") for *_, n in checks]
+    rows = [F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), (n == 0).alias("passed"), n.alias("bad_rows"))
+            for (name, severity, _), n in zip(checks, bad, strict=True)]
+    report = facts.select(by, F.inline(F.array(*rows)))
+    if row_no is None or not quantities:
+        return report.withColumn("sample", F.lit(None).cast("string"))
+    return report.join(samples(df, by, row_no, quantities), [by, "check_name"], "left").select(*report.columns, "sample")
+
+
 def gate(report: DataFrame, by: list[str]) -> DataFrame:
     """Failures and warnings per file; any failed CRITICAL or HIGH check rejects it."""
     hard = ~F.col("passed") & F.col("severity").isin("CRITICAL", "HIGH")

@@ -20,6 +20,10 @@ SELECT header, rows FROM inbox_files
 -- name: file_dedup
 SELECT header, rows FROM inbox_files WHERE table_name IS DISTINCT FROM 'fact_order'
 
+-- name: inbox_stream
+SELECT 'OMS' AS source_system, channel_order_id, line_no, order_date, channel_store_id, item_id, qty_ordered, CAST(1 AS BIGINT) AS load_batch_id
+FROM fact_order
+
 -- name: detect_table
 SELECT header, table_name, CAST(score AS DOUBLE) AS score, verdict, rows FROM inbox_files
 
