@@ -14,6 +14,10 @@ item, then per class. Each count is a partial aggregation and each ordered
 frame is small. The last pass compares every class with the cut-off. Every
 round reads the same written classes and writes one row per charge line. When
 the widest line was counted and is small, one window does the same in one pass.
+
+Charges whose bases are storage bases are spread over stock instead of shipments: each
+warehouse, item and lot weighs its quantity times the days it lay there, a step function
+over the snapshots. Its classes and charge lines meet in spans of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import lookup, month
+from ledgerloom.functions.exprs import exact_sum, lookup, month
 from ledgerloom.policy import SENTINEL, Policy
 from ledgerloom.session import materialize
 
@@ -45,7 +49,10 @@ _MEASURES = ["qty", "weight", "volume_cbm"]
 _BASIS_MEASURE = {
     "qty": "qty", "value": "qty", "weight": "weight", "volume_cbm": "volume_cbm",
     "revenue": None, "order_count": None, "line_count": None,
+    "onhand_cbm_days": "volume_cbm", "onhand_qty_days": "qty",
 }
+STORAGE_BASES = ("onhand_cbm_days", "onhand_qty_days")
+_STORAGE = "storage "
 
 
 def _units(c: Column | str) -> Column:
@@ -53,13 +60,15 @@ def _units(c: Column | str) -> Column:
     return (c.cast("decimal(18,4)") * UNITS).cast("bigint")
 
 
-def target_classes(shipments: DataFrame, policy: Policy) -> DataFrame:
-    """Distinct shipment classes with their row count."""
+def target_classes(shipments: DataFrame, policy: Policy, snapshots: DataFrame | None = None) -> DataFrame:
+    """Distinct shipment classes with their row count, and the classes of stock."""
     span = F.lit("") if policy.allocation_scope == "all" else month("ship_date")
     classes = shipments.groupBy(
         span.alias("_span"), "warehouse_id", "channel_store_id", "item_id", "lot_id",
         F.col("qty_shipped").alias("qty"), "weight", "volume_cbm",
     ).agg(F.count(F.lit(1)).alias("n"))
+    if snapshots is not None:
+        classes = classes.unionByName(storage_classes(snapshots, shipments, policy))
     return classes.withColumns({
         "_wh": F.coalesce("warehouse_id", F.lit("")),
         **{f"u_{m}": F.coalesce(_units(m), F.lit(0).cast("bigint")) for m in _MEASURES},
@@ -67,6 +76,46 @@ def target_classes(shipments: DataFrame, policy: Policy) -> DataFrame:
     })
 
 
+def stock_days(snapshots: DataFrame) -> DataFrame:
+    """(period, warehouse_id, item_id, lot_id, qty_days): quantity on hand integrated over the days of each month.
+
+    A snapshot holds until the next one of its warehouse, and the last one to the end of its
+    month; a lot that a later snapshot does not list is gone by then. What runs over a month's
+    end counts in both months. Negative stock counts as none. Only the days a warehouse was
+    counted on are put in order, not the rows.
+    """
+    days = snapshots.filter("snapshot_date IS NOT NULL").select("warehouse_id", "snapshot_date").distinct()
+    following = F.lead("snapshot_date").over(Window.partitionBy("warehouse_id").orderBy("snapshot_date"))
+    spans = days.withColumn("_until", F.coalesce(following, F.add_months(F.trunc("snapshot_date", "month"), 1)))
+    months = F.sequence(F.trunc("snapshot_date", "month"), F.trunc(F.date_sub("_until", 1), "month"), F.expr("interval 1 month"))
+    spans = spans.withColumn("_m", F.explode(months))
+    held = F.datediff(F.least("_until", F.add_months("_m", 1)), F.greatest("snapshot_date", "_m"))
+    spans = spans.select(F.col("warehouse_id").alias("_w"), F.col("snapshot_date").alias("_d"), month("_m").alias("period"), held.alias("_days"))
+    joined = snapshots.join(spans, F.col("warehouse_id").eqNullSafe(F.col("_w")) & (F.col("snapshot_date") == F.col("_d")))
+    lain = F.greatest(F.col("onhand_qty"), F.lit(0.0)).cast("decimal(18,4)") * F.col("_days")
+    return joined.groupBy("period", "warehouse_id", "item_id", "lot_id").agg(F.sum(lain).cast("double").alias("qty_days"))
+
+
+def storage_classes(snapshots: DataFrame, shipments: DataFrame, policy: Policy) -> DataFrame:
+    """Stock as allocation targets; an item's volume a unit is that of its shipments."""
+    known = shipments.filter("volume_cbm IS NOT NULL AND qty_shipped > 0").groupBy(F.col("item_id").alias("_item")).agg(
+        (exact_sum("volume_cbm") / exact_sum("qty_shipped")).alias("_unit"))
+    stock = stock_days(snapshots)
+    if policy.allocation_scope == "all":
+        stock = stock.groupBy("warehouse_id", "item_id", "lot_id").agg(exact_sum("qty_days").alias("qty_days")).withColumn("period", F.lit(""))
+    both = stock.join(known, F.col("item_id") == F.col("_item"), "left")
+    return both.select(
+        F.concat(F.lit(_STORAGE), "period").alias("_span"), "warehouse_id", F.lit(None).cast("string").alias("channel_store_id"), "item_id", "lot_id",
+        F.col("qty_days").alias("qty"), F.lit(None).cast("double").alias("weight"), (F.col("qty_days") * F.col("_unit")).alias("volume_cbm"),
+        F.lit(1).cast("bigint").alias("n"))
+
+
+def is_storage(policy: Policy) -> Column:
+    """Whether a charge line's first basis is a storage basis."""
+    types = [t for t in policy.charge_types if policy.basis_priority(t)[:1] and policy.basis_priority(t)[0] in STORAGE_BASES]
+    return F.coalesce(F.col("charge_type").isin(types), F.lit(False)) if types else F.lit(False)
+
+
 def scope_totals(classes: DataFrame) -> DataFrame:
     """Per warehouse and basis: rows, total basis and whether any value is usable."""
     aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")]
@@ -78,7 +127,7 @@ def scope_totals(classes: DataFrame) -> DataFrame:
         F.struct(
             F.lit(basis).alias("basis"),
             (F.col(f"t_{m}") if m else F.col("n").cast("decimal(20,0)") * UNITS).cast("decimal(28,0)").alias("total"),
-            (F.col(f"any_{m}") if m else F.lit(True)).alias("usable"),
+            ((F.col(f"any_{m}") if m else F.lit(True)) & (F.col("_span").startswith(_STORAGE) == F.lit(basis in STORAGE_BASES))).alias("usable"),
         )
         for basis, m in _BASIS_MEASURE.items()
     ]
@@ -88,6 +137,7 @@ def scope_totals(classes: DataFrame) -> DataFrame:
 def charge_scopes(charges: DataFrame, totals: DataFrame, policy: Policy) -> DataFrame:
     """The warehouses each charge line covers: its own if it has rows, else all."""
     span = F.lit("") if policy.allocation_scope == "all" else F.col("period")
+    span = F.when(is_storage(policy), F.concat(F.lit(_STORAGE), span)).otherwise(span)
     lines = charges.select(*LINE, "warehouse_id", span.alias("_span"))
     homes = totals.select("_span", "_wh", "classes").distinct()
     marked = lines.join(
@@ -110,7 +160,7 @@ def choose_basis(charges: DataFrame, scopes: DataFrame, totals: DataFrame, polic
     empty = charges.select(*LINE).join(scopes.select(*LINE).distinct(), LINE, "left_anti")
     stand_in = empty.select(
         *LINE,
-        F.explode(F.array(*[F.lit(b) for b in _BASIS_MEASURE if b not in ("weight", "volume_cbm")])).alias("basis"),
+        F.explode(F.array(*[F.lit(b) for b in _BASIS_MEASURE if b not in ("weight", "volume_cbm", *STORAGE_BASES)])).alias("basis"),
         F.lit(UNITS).cast("decimal(28,0)").alias("total"), F.lit(1).cast("bigint").alias("targets"),
         F.lit(True).alias("usable"))
     ranked = over.unionByName(stand_in).filter("usable").join(
@@ -218,18 +268,18 @@ def _bucket() -> Column:
 
 
 def plan_basis(
-    charges: DataFrame, shipments: DataFrame, policy: Policy,
+    charges: DataFrame, shipments: DataFrame, policy: Policy, snapshots: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written classes, charge scopes, and the lazily chosen basis per line."""
-    classes = materialize(target_classes(shipments, policy), "classes")
+    classes = materialize(target_classes(shipments, policy, snapshots), "classes")
     totals = materialize(scope_totals(classes), "totals")
     scopes = charge_scopes(charges, totals, policy)
     return classes, scopes, choose_basis(charges, scopes, totals, policy)
 
 
-def plan_allocation(charges: DataFrame, shipments: DataFrame, policy: Policy) -> Plan:
+def plan_allocation(charges: DataFrame, shipments: DataFrame, policy: Policy, snapshots: DataFrame | None = None) -> Plan:
     """``charges`` is read several times, so it should be a written table."""
-    classes, scopes, basis = plan_basis(charges, shipments, policy)
+    classes, scopes, basis = plan_basis(charges, shipments, policy, snapshots)
     lines = materialize(_line_frame(charges, basis, policy), "lines")
     scoped = materialize(scopes.join(lines, LINE).select(
         "_line", "_span", "_wh", "classes", "_measure", "_amount", "_den", "_den64"), "scoped")

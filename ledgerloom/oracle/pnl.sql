@@ -14,16 +14,45 @@ SELECT * FROM (VALUES
   ('FREIGHT_INTL_SEA', 'weight', 0), ('FREIGHT_INTL_SEA', 'volume_cbm', 1),
   ('FREIGHT_INTL_SEA', 'value', 2), ('FREIGHT_INTL_SEA', 'qty', 3),
   ('DISPOSAL_FEE', 'line_count', 0), ('DISPOSAL_FEE', 'qty', 1),
+  ('3PL_STORAGE_FEE', 'onhand_cbm_days', 0), ('3PL_STORAGE_FEE', 'onhand_qty_days', 1),
   ('PLATFORM_FEE', 'revenue', 0), ('PLATFORM_FEE', 'line_count', 1)) AS t(charge_type, basis, priority)
 
+-- name: stock_days
+SELECT strftime(m, '%Y-%m') AS period, s.warehouse_id, s.item_id, s.lot_id,
+       CAST(sum(CAST(greatest(s.onhand_qty, 0) AS DECIMAL(18,4)) * (least(u, CAST(m + INTERVAL 1 MONTH AS DATE)) - greatest(s.snapshot_date, m))) AS DOUBLE) AS qty_days
+FROM fact_inventory_snapshot s
+JOIN (SELECT w, d, u, CAST(unnest(generate_series(date_trunc('month', d), date_trunc('month', u - 1), INTERVAL 1 MONTH)) AS DATE) AS m
+      FROM (SELECT w, d, coalesce(lead(d) OVER (PARTITION BY w ORDER BY d), CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE)) AS u
+            FROM (SELECT DISTINCT warehouse_id AS w, snapshot_date AS d FROM fact_inventory_snapshot) x) y) k
+  ON k.w = s.warehouse_id AND k.d = s.snapshot_date
+GROUP BY 1, 2, 3, 4
+
+-- name: item_volume
+SELECT item_id, CAST(sum(CAST(volume_cbm AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(qty_shipped AS DECIMAL(18,4))) AS DOUBLE) AS unit
+FROM fact_shipment WHERE volume_cbm IS NOT NULL AND qty_shipped > 0 GROUP BY 1
+
+-- name: storage_targets
+SELECT c.invoice_no, c.invoice_line_no, c.charge_type, c.amount, c.period, c.currency,
+       s.warehouse_id, CAST(NULL AS VARCHAR) AS channel_store_id, s.item_id, s.lot_id, CAST(NULL AS VARCHAR) AS shipment_id,
+       s.qty_days AS qty, CAST(NULL AS DOUBLE) AS weight, s.qty_days * v.unit AS volume_cbm, true AS stored
+FROM (SELECT a.*, w.warehouse_id IS NOT NULL AS own
+      FROM fact_charge_actual a
+      LEFT JOIN (SELECT DISTINCT period, warehouse_id FROM stock_days) w ON w.period = a.period AND w.warehouse_id = a.warehouse_id
+      WHERE a.charge_type = '3PL_STORAGE_FEE') c
+JOIN stock_days s ON s.period = c.period AND (s.warehouse_id = c.warehouse_id OR NOT c.own)
+LEFT JOIN item_volume v ON v.item_id = s.item_id
+
 -- name: charge_targets
+SELECT * FROM storage_targets
+UNION ALL
 SELECT c.invoice_no, c.invoice_line_no, c.charge_type, c.amount, c.period, c.currency,
        s.warehouse_id, s.channel_store_id, s.item_id, s.lot_id, s.shipment_id,
-       s.qty_shipped AS qty, s.weight, s.volume_cbm
+       s.qty_shipped AS qty, s.weight, s.volume_cbm, false AS stored
 FROM (SELECT a.*, w.warehouse_id IS NOT NULL AS own
       FROM fact_charge_actual a
       LEFT JOIN (SELECT DISTINCT strftime(ship_date, '%Y-%m') AS period, warehouse_id FROM fact_shipment) w
-        ON w.period = a.period AND w.warehouse_id = a.warehouse_id) c
+        ON w.period = a.period AND w.warehouse_id = a.warehouse_id
+      WHERE a.charge_type <> '3PL_STORAGE_FEE') c
 JOIN fact_shipment s
   ON strftime(s.ship_date, '%Y-%m') = c.period AND (s.warehouse_id = c.warehouse_id OR NOT c.own)
 
@@ -37,7 +66,8 @@ FROM (
            bool_or(coalesce(u.v <> 0, false)) AS usable
     FROM (SELECT *, unnest([{'basis': 'qty', 'v': qty}, {'basis': 'value', 'v': qty}, {'basis': 'weight', 'v': weight},
                             {'basis': 'volume_cbm', 'v': volume_cbm}, {'basis': 'revenue', 'v': 1.0::DOUBLE},
-                            {'basis': 'order_count', 'v': 1.0::DOUBLE}, {'basis': 'line_count', 'v': 1.0::DOUBLE}]) AS u
+                            {'basis': 'order_count', 'v': 1.0::DOUBLE}, {'basis': 'line_count', 'v': 1.0::DOUBLE},
+                            {'basis': 'onhand_cbm_days', 'v': volume_cbm}, {'basis': 'onhand_qty_days', 'v': qty}]) AS u
           FROM charge_targets) t
     GROUP BY 1, 2, 3, 4) b
   JOIN basis_priority p ON b.charge_type = p.charge_type AND b.basis = p.basis
@@ -55,7 +85,8 @@ FROM (
     FROM (
       SELECT t.*, b.allocation_basis,
              CAST(coalesce(CASE b.allocation_basis WHEN 'weight' THEN weight WHEN 'volume_cbm' THEN volume_cbm
-                    WHEN 'qty' THEN qty WHEN 'value' THEN qty ELSE 1.0 END, 0) * 10000 AS HUGEINT) AS v,
+                    WHEN 'qty' THEN qty WHEN 'value' THEN qty WHEN 'onhand_qty_days' THEN qty
+                    WHEN 'onhand_cbm_days' THEN CAST(CAST(volume_cbm AS DECIMAL(18,4)) AS DOUBLE) ELSE 1.0 END, 0) * 10000 AS HUGEINT) AS v,
              CAST(t.amount * 10000 AS HUGEINT) AS a,
              CAST(b.basis_total * 10000 AS HUGEINT) * 10000 AS den
       FROM charge_targets t

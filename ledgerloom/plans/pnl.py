@@ -31,12 +31,13 @@ def rated_charges(cat: Catalog) -> DataFrame:
 
 def _plan(cat: Catalog) -> allocation.Plan:
     if "allocation" not in cat.notes:
-        cat.notes["allocation"] = allocation.plan_allocation(cat["rated_charges"], cat["fact_shipment"], cat.policy)
+        cat.notes["allocation"] = allocation.plan_allocation(
+            cat["rated_charges"], cat["fact_shipment"], cat.policy, cat["fact_inventory_snapshot"])
     return cat.notes["allocation"]
 
 
 def _basis(cat: Catalog) -> DataFrame:
-    return allocation.plan_basis(cat["rated_charges"], cat["fact_shipment"], cat.policy)[2]
+    return allocation.plan_basis(cat["rated_charges"], cat["fact_shipment"], cat.policy, cat["fact_inventory_snapshot"])[2]
 
 
 @query("allocation_basis")
