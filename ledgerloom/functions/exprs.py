@@ -25,6 +25,14 @@ def exact_sum(c: Column | str) -> Column:
     return F.sum(col(c).cast(MONEY)).cast("double")
 
 
+def by_value(pair: Column) -> Column:
+    """A pivot without a list of values: the (value, measures) pairs of a group, in order of the value.
+
+    A group has one pair per value, as it was aggregated by the value before.
+    """
+    return F.array_sort(F.collect_list(pair))
+
+
 def sum0(c: Column | str) -> Column:
     """Exact sum where a group of only NULLs counts as 0."""
     return F.coalesce(exact_sum(c), F.lit(0.0))

@@ -175,20 +175,9 @@ FROM (
   FROM mart_pnl_revenue) t
 
 -- name: kpi_revenue_trend
-SELECT period,
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S0') AS DOUBLE), 0.0) AS "S0",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S1') AS DOUBLE), 0.0) AS "S1",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S2') AS DOUBLE), 0.0) AS "S2",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S3') AS DOUBLE), 0.0) AS "S3",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S4') AS DOUBLE), 0.0) AS "S4",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S5') AS DOUBLE), 0.0) AS "S5",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S6') AS DOUBLE), 0.0) AS "S6",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S7') AS DOUBLE), 0.0) AS "S7",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S8') AS DOUBLE), 0.0) AS "S8",
-       coalesce(CAST(sum(v) FILTER (WHERE channel_store_id = 'S9') AS DOUBLE), 0.0) AS "S9"
-FROM (SELECT period, channel_store_id, CAST(net_revenue_krw AS DECIMAL(18,4)) AS v FROM mart_pnl_revenue
-      WHERE net_revenue_krw IS NOT NULL) t
-GROUP BY 1
+SELECT period, CAST(sum(v) OVER (PARTITION BY period) AS DOUBLE) AS month_revenue_krw, channel, CAST(v AS DOUBLE) AS net_revenue_krw
+FROM (SELECT period, coalesce(channel_store_id, 'UNKNOWN') AS channel, sum(CAST(net_revenue_krw AS DECIMAL(18,4))) AS v
+      FROM mart_pnl_revenue WHERE net_revenue_krw IS NOT NULL GROUP BY 1, 2) t
 
 -- name: kpi_revenue_by_country
 SELECT country, CAST(sum(CAST(net_revenue_krw AS DECIMAL(18,4))) AS DOUBLE) AS net_revenue_krw,

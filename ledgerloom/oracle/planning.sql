@@ -111,18 +111,29 @@ UNION ALL SELECT DISTINCT 'item_id', item_id FROM fact_shipment
 UNION ALL SELECT DISTINCT 'channel_store_id', channel_store_id FROM fact_shipment
 
 -- name: custom_report
-SELECT strftime(ship_date, '%Y-%m') AS period, channel_store_id,
-       sum(qty_shipped) FILTER (WHERE warehouse_id = 'W0') AS "W0_qty", avg(qty_shipped) FILTER (WHERE warehouse_id = 'W0') AS "W0_mean",
-       sum(qty_shipped) FILTER (WHERE warehouse_id = 'W1') AS "W1_qty", avg(qty_shipped) FILTER (WHERE warehouse_id = 'W1') AS "W1_mean",
-       sum(qty_shipped) FILTER (WHERE warehouse_id = 'W2') AS "W2_qty", avg(qty_shipped) FILTER (WHERE warehouse_id = 'W2') AS "W2_mean",
-       sum(qty_shipped) FILTER (WHERE warehouse_id = 'W3') AS "W3_qty", avg(qty_shipped) FILTER (WHERE warehouse_id = 'W3') AS "W3_mean",
-       sum(qty_shipped) FILTER (WHERE warehouse_id = 'W4') AS "W4_qty", avg(qty_shipped) FILTER (WHERE warehouse_id = 'W4') AS "W4_mean"
-FROM fact_shipment GROUP BY 1, 2
+SELECT period, channel_store_id, CAST(count(*) OVER (PARTITION BY period, channel_store_id) AS INTEGER) AS warehouses, warehouse_id, qty, mean
+FROM (SELECT strftime(ship_date, '%Y-%m') AS period, channel_store_id, warehouse_id, sum(qty_shipped) AS qty, avg(qty_shipped) AS mean
+      FROM fact_shipment GROUP BY 1, 2, 3) s
 
 -- name: dq_report_summary
 SELECT file_name, severity, count(*) FILTER (WHERE passed) AS passed_checks, count(*) FILTER (WHERE NOT passed) AS failed_checks
 FROM dq_report GROUP BY 1, 2
 
 -- name: alert_dedup
-SELECT user_id, CAST(ts AS DATE) AS day, arg_min(event_id, ts) AS event_id, count(*) AS signals
-FROM events WHERE event_type = 'error' GROUP BY 1, 2
+SELECT k.event_type, k.user_id, min(e.event_id) FILTER (WHERE e.ts = k.ts) AS event_id, k.ts, count(*) AS signals
+FROM (WITH RECURSIVE chain AS (
+        SELECT event_type, user_id, min(ts) AS ts FROM events GROUP BY 1, 2
+        UNION ALL
+        SELECT c.event_type, c.user_id, min(e.ts)
+        FROM chain c JOIN events e ON e.event_type = c.event_type AND e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 24 HOUR
+        GROUP BY c.event_type, c.user_id)
+      SELECT *, lead(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS following FROM chain) k
+JOIN events e ON e.event_type = k.event_type AND e.user_id = k.user_id AND e.ts >= k.ts AND (k.following IS NULL OR e.ts < k.following)
+GROUP BY k.event_type, k.user_id, k.ts
+
+-- name: alert_dedup_signals
+SELECT metric_name, entity_type, entity_id, min(period) AS period, detected_at, count(*) AS signals
+FROM (SELECT metric_name, entity_type, entity_id, period, detected_at FROM mart_anomaly_signals
+      UNION ALL SELECT metric_name, entity_type, entity_id, period, detected_at FROM mart_constraint_signals) s
+GROUP BY 1, 2, 3, 5
+

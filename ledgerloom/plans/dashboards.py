@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog, query
 from ledgerloom.functions.exprs import (
-    exact_avg, exact_sum, literal_table, rate_avg, ratio, side_by_side, sum0, weighted_avg,
+    MONEY, by_value, exact_avg, exact_sum, literal_table, rate_avg, ratio, side_by_side, sum0, weighted_avg,
 )
 
 # ---- filters ------------------------------------------------------------
@@ -311,17 +311,24 @@ def kpi_revenue(cat: Catalog) -> DataFrame:
     return total.withColumn("net_rate", ratio(F.col("net_revenue") * 100, F.col("gross_sales")))
 
 
-def revenue_trend(revenue: DataFrame, channels: list[str]) -> DataFrame:
-    """One column per channel; months without sales in a channel show 0."""
-    known = revenue.filter("net_revenue_krw IS NOT NULL").withColumn(
-        "channel_store_id", F.coalesce("channel_store_id", F.lit("UNKNOWN")))
-    wide = known.groupBy("period").pivot("channel_store_id", channels).agg(exact_sum("net_revenue_krw"))
-    return wide.fillna(0.0, subset=channels)
+def revenue_trend(revenue: DataFrame) -> DataFrame:
+    """(period, by_channel, net_revenue_krw): every channel's revenue, as (channel, value) in order of the channel.
+
+    Channels are whatever a month has; none has to be listed beforehand. Rows without a
+    channel count as ``UNKNOWN``.
+    """
+    known = revenue.filter("net_revenue_krw IS NOT NULL").groupBy(
+        "period", F.coalesce("channel_store_id", F.lit("UNKNOWN")).alias("channel")).agg(F.sum(F.col("net_revenue_krw").cast(MONEY)).alias("_v"))
+    return known.groupBy("period").agg(
+        by_value(F.struct("channel", F.col("_v").cast("double").alias("net_revenue_krw"))).alias("by_channel"),
+        F.sum("_v").cast("double").alias("net_revenue_krw"))
 
 
 @query("kpi_revenue_trend")
 def kpi_revenue_trend(cat: Catalog) -> DataFrame:
-    return revenue_trend(cat["mart_pnl_revenue"], [f"S{i}" for i in range(10)])
+    """One row per month and channel, out of the months' maps; an absent channel has no row."""
+    wide = revenue_trend(cat["mart_pnl_revenue"])
+    return wide.select("period", F.col("net_revenue_krw").alias("month_revenue_krw"), F.inline("by_channel"))
 
 
 @query("kpi_revenue_by_country")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog, query, table
 from ledgerloom.functions.exprs import (
-    MONEY, days_between, exact_avg, exact_sum, month, rate_avg, ratio, side_by_side, sum0,
+    MONEY, by_value, days_between, exact_avg, exact_sum, month, rate_avg, ratio, side_by_side, sum0,
 )
+from ledgerloom.operators.alerts import suppress
 from ledgerloom.operators.ranking import falling_bucket, running_sum_in_steps
 
 
@@ -178,20 +179,24 @@ def filter_options(cat: Catalog) -> DataFrame:
 
 def report(
     df: DataFrame, axes: list[str], measures: dict[str, tuple[str, str]], pivot: str | None = None,
-    values: list[str] | None = None,
 ) -> DataFrame:
-    """Chosen axes by chosen measures (name: column, ``sum`` or ``avg``), optionally pivoted."""
+    """Chosen axes by chosen measures (name: column, ``sum`` or ``avg``).
+
+    With ``pivot`` a row has the array ``by_<pivot>`` of (value, measures), every value in it, in order.
+    """
     how = {"sum": exact_sum, "avg": exact_avg}
     aggs = [how[kind](c).alias(name) for name, (c, kind) in measures.items()]
-    grouped = df.groupBy(*axes)
-    return (grouped.pivot(pivot, values) if pivot else grouped).agg(*aggs)
+    grouped = df.groupBy(*axes, *([pivot] if pivot else [])).agg(*aggs)
+    if not pivot:
+        return grouped
+    return grouped.groupBy(*axes).agg(by_value(F.struct(pivot, *measures)).alias(f"by_{pivot}"))
 
 
 @query("custom_report")
 def custom_report(cat: Catalog) -> DataFrame:
     df = cat["fact_shipment"].withColumn("period", month("ship_date"))
-    return report(df, ["period", "channel_store_id"], {"qty": ("qty_shipped", "sum"), "mean": ("qty_shipped", "avg")},
-                  "warehouse_id", [f"W{i}" for i in range(5)])
+    wide = report(df, ["period", "channel_store_id"], {"qty": ("qty_shipped", "sum"), "mean": ("qty_shipped", "avg")}, "warehouse_id")
+    return wide.select("period", "channel_store_id", F.size("by_warehouse_id").alias("warehouses"), F.inline("by_warehouse_id"))
 
 
 @query("dq_report_summary")
@@ -202,7 +207,13 @@ def dq_report_summary(cat: Catalog) -> DataFrame:
 
 @query("alert_dedup")
 def alert_dedup(cat: Catalog) -> DataFrame:
-    """The first error event per user and day; detection dates are whole days."""
-    return cat.source("events").filter("event_type = 'error'").groupBy(
-        "user_id", F.col("ts").cast("date").alias("day"),
-    ).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("signals"))
+    """Alerts on events: one per user and event type in 24 hours, with how many it stands for."""
+    return suppress(cat.source("events"), ["event_type", "user_id"], "ts", "event_id")
+
+
+@query("alert_dedup_signals")
+def alert_dedup_signals(cat: Catalog) -> DataFrame:
+    """Alerts on both signal marts: one per metric and entity in 24 hours, named by its first period."""
+    columns = ["metric_name", "entity_type", "entity_id", "period", "detected_at"]
+    both = cat["mart_anomaly_signals"].select(*columns).unionByName(cat["mart_constraint_signals"].select(*columns))
+    return suppress(both, columns[:3], "detected_at", "period")
