@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog, query, table
 from ledgerloom.functions.exprs import month
 from ledgerloom.operators import quality
+from ledgerloom.session import materialize
+from ledgerloom.sources.contracts import CONTRACTS
 
 
 @table("shipment_rows")
@@ -92,15 +94,58 @@ def dq_cross_return_vs_ship(cat: Catalog) -> DataFrame:
         cat["fact_return"], "qty_returned", cat["fact_shipment"], "qty_shipped", "cross_return_vs_shipment")
 
 
+def _digits(c: str) -> Column:
+    return F.regexp_replace(c, "[^0-9]", "").cast("bigint")
+
+
+def _file_row(table: str) -> Column:
+    """A number for each row of a derived file, from its key."""
+    return {
+        "fact_order": lambda: _digits("channel_order_id") * 10 + F.col("line_no").cast("bigint"),
+        "fact_shipment": lambda: _digits("shipment_id"),
+        "fact_return": lambda: _digits("return_id"),
+        "fact_inventory_snapshot": lambda: ((_digits("item_id") * 3 + _digits("lot_id")) * 60 + F.datediff(
+            F.col("snapshot_date").cast("date"), F.lit("1998-01-01").cast("date"))) * 5 + _digits("warehouse_id"),
+        "fact_po": lambda: _digits("po_id"),
+        "fact_receipt": lambda: _digits("receipt_id") * 2 + F.when(F.col("source_system") == "ERP", 1).otherwise(0),
+    }.get(table, lambda: F.lit(None).cast("bigint"))()
+
+
+#: The file that stands for each table.
+FILE_NAMES = {
+    "fact_order": "orders.csv", "fact_shipment": "shipments.csv", "fact_return": "returns.csv", "fact_inventory_snapshot": "inventory.csv",
+    "fact_po": "purchases.csv", "fact_receipt": "receipts.csv", "fact_settlement": "settlements.csv", "fact_charge_actual": "charges.csv",
+    "fact_exchange_rate": "rates.csv", "fact_cost_structure": "costs.csv",
+}
+
+
+def _file(cat: Catalog, name: str) -> DataFrame:
+    """A table's rows as text, one quantity in sixteen below zero."""
+    if name == "fact_shipment":
+        return cat["shipment_rows"]
+    df = cat["raw_charges" if name == "fact_charge_actual" else name]
+    key = F.md5(F.col(CONTRACTS[name].key[0]).cast("string"))
+    for c in quality.QUANTITY_COLUMNS:
+        if c in df.columns:
+            df = df.withColumn(c, F.when(F.substring(key, 1, 1) == "0", -F.col(c)).otherwise(F.col(c)))
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
 @table("dq_report")
 def dq_report(cat: Catalog) -> DataFrame:
-    """Every check over the shipment file and the charge file."""
-    ship = quality.run_all(
-        cat["shipment_rows"], "fact_shipment", cat.policy,
-        {"fact_inventory_snapshot": cat["fact_inventory_snapshot"]})
-    charge = quality.run_all(cat["raw_charges"], "fact_charge_actual", cat.policy)
-    return ship.withColumn("file_name", F.lit("shipments.csv")).unionByName(
-        charge.withColumn("file_name", F.lit("charges.csv")))
+    """Every check over the files of the ten tables, with the rows that break a quantity check."""
+    out, rows = None, {}
+    for name, file_name in FILE_NAMES.items():
+        # Written once: counts, keys and offending rows each read it.
+        rows[name] = materialize(_file(cat, name).withColumns({"file_name": F.lit(file_name), "row_no": _file_row(name)}), f"file-{name}")
+        one = quality.report_by_file(rows[name], name, cat.policy, "file_name", "row_no")
+        out = one if out is None else out.unionByName(one)
+    pairs = [("fact_shipment", "qty_shipped", cat["fact_inventory_snapshot"], "onhand_qty", "cross_shipment_vs_inventory"),
+             ("fact_return", "qty_returned", cat["fact_shipment"], "qty_shipped", "cross_return_vs_shipment")]
+    for name, left, other, right, check in pairs:
+        over = quality.total_exceeds(rows[name], left, other, right, check)
+        out = out.unionByName(over.withColumns({"file_name": F.lit(FILE_NAMES[name]), "sample": F.lit(None).cast("string")}))
+    return materialize(out, "dq-report")
 
 
 @query("dq_gate")
