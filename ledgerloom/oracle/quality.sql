@@ -358,6 +358,4 @@ UNION ALL SELECT invoice_no || '.csv', invoice_line_no, 'invoice_date outside pe
 UNION ALL SELECT invoice_no || '.csv', invoice_line_no, 'reference_period after period' FROM fact_charge_actual WHERE invoice_line_no = 3
 
 -- name: dq_upload_error_report
-SELECT source_file_name, line_no, problem
-FROM (SELECT *, row_number() OVER (PARTITION BY source_file_name ORDER BY line_no, problem) AS rn FROM dq_upload_periods) t
-WHERE rn <= 50
+SELECT source_file_name, line_no, problem FROM dq_upload_periods

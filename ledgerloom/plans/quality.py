@@ -221,8 +221,14 @@ def dq_upload_periods(cat: Catalog) -> DataFrame:
     return sales.unionByName(charge)
 
 
+def error_report(problems: DataFrame, at_most: int | None = None) -> DataFrame:
+    """What a sender sees: every problem of a file, or the first ``at_most``."""
+    if at_most is None:
+        return problems
+    w = Window.partitionBy("source_file_name").orderBy("line_no", "problem")
+    return problems.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= at_most).drop("_rn")
+
+
 @query("dq_upload_error_report")
 def dq_upload_error_report(cat: Catalog) -> DataFrame:
-    """What a sender sees: at most fifty problems per file."""
-    w = Window.partitionBy("source_file_name").orderBy("line_no", "problem")
-    return cat["dq_upload_periods"].withColumn("_rn", F.row_number().over(w)).filter("_rn <= 50").drop("_rn")
+    return error_report(cat["dq_upload_periods"])

@@ -5,7 +5,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
-from frames import catalog
+from frames import catalog, frame, rows
 
 from ledgerloom import Policy
 from ledgerloom.operators import allocation
@@ -110,3 +110,40 @@ def test_policy_is_sound():
     assert Policy().problems() == []
     bad = Policy(basis_overrides={"NOPE": ["weight", "colour"]})
     assert len(bad.problems()) == 2
+
+
+def snapshot(day, item, lot, qty, warehouse="W0"):
+    return {"snapshot_date": day, "warehouse_id": warehouse, "item_id": item, "lot_id": lot, "onhand_qty": qty}
+
+
+STOCK = [
+    snapshot("2023-12-30", "a", "L", 10.0), snapshot("2023-12-30", "b", "L", 1.0), snapshot("2024-01-11", "a", "L", 4.0),
+    snapshot("2024-01-11", "c", None, -5.0), snapshot("2024-01-20", "c", None, 2.0), snapshot("2024-01-05", "a", "L", 3.0, "W1")]
+
+
+def test_stock_days_are_cut_at_month_borders(spark):
+    found = allocation.stock_days(frame(spark, "fact_inventory_snapshot", STOCK))
+    assert rows(found, "period", "warehouse_id", "item_id", "qty_days") == [
+        ("2023-12", "W0", "a", 20.0), ("2023-12", "W0", "b", 2.0), ("2024-01", "W0", "a", 10.0 * 10 + 4.0 * 9), ("2024-01", "W0", "b", 10.0),
+        ("2024-01", "W0", "c", 2.0 * 12), ("2024-01", "W1", "a", 3.0 * 27)]
+
+
+def test_storage_fees_follow_stock(spark):
+    tables = dict(fact_inventory_snapshot=STOCK, fact_shipment=shipments(6, 3), fact_charge_actual=[
+        charge(1, "3PL_STORAGE_FEE", 170.0, "W0"), charge(2, "3PL_STORAGE_FEE", 100.0, "nowhere"), charge(3, "PG_FEE", 60.0)])
+    cat = catalog(spark, **tables)
+    # No shipment tells the volume of these items, so quantities weigh.
+    assert rows(cat["allocation_basis"], "invoice_no", "allocation_basis", "basis_total", "targets")[:2] == [
+        ("I1", "onhand_qty_days", 170.0, 3), ("I2", "onhand_qty_days", 251.0, 4)]
+    parts = {r.item_id: r.allocated_amount for r in cat["mart_charge_allocated"].collect() if r.invoice_no == "I1"}
+    assert parts == {"a": 136.0, "b": 10.0, "c": 24.0}
+    assert all(r.tied for r in cat["reco_charges_tieout"].collect()) and cat["unallocated_charges"].count() == 0
+    every = catalog(spark, Policy(allocation_scope="all"), **tables)
+    assert rows(every["allocation_basis"], "invoice_no", "basis_total")[0] == ("I1", 192.0)
+
+
+def test_volume_weighs_where_shipments_tell_it(spark):
+    ships = [dict(s, item_id="a", qty_shipped=2.0, volume_cbm=0.5) for s in shipments(2, 3)]
+    cat = catalog(spark, fact_inventory_snapshot=STOCK, fact_shipment=ships, fact_charge_actual=[charge(1, "3PL_STORAGE_FEE", 34.0, "W0")])
+    assert rows(cat["allocation_basis"], "allocation_basis", "basis_total") == [("onhand_cbm_days", 34.0)]
+    assert {r.item_id: r.allocated_amount for r in cat["mart_charge_allocated"].collect()} == {"a": 34.0, "b": 0.0, "c": 0.0}
