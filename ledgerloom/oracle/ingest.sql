@@ -81,9 +81,13 @@ SELECT l_suppkey AS batch_id,
 FROM lineitem WHERE l_linestatus = 'F'
 
 -- name: upload_content_hash
-SELECT source_file_name, count(*) AS row_count, 'success' AS status FROM upload_shipment GROUP BY 1
+SELECT 'upload_shipment' AS table_name, source_file_name, count(*) AS row_count, 'success' AS status, CAST(NULL AS BIGINT) AS first_batch, CAST(1 AS BIGINT) AS batch_id
+FROM upload_shipment GROUP BY source_file_name
 UNION ALL
-SELECT 'copy_of_' || source_file_name, count(*), 'duplicate' FROM upload_shipment WHERE batch_id % 3 = 0 GROUP BY 1
+SELECT t.table_name, 'copy_of_' || source_file_name, count(*), t.status, t.first_batch, t.batch_id
+FROM upload_shipment u, (VALUES ('upload_shipment', 'duplicate', 1, 2), ('upload_shipment', 'success', NULL, 3), ('upload_return', 'success', NULL, 4))
+  t(table_name, status, first_batch, batch_id)
+WHERE u.batch_id % 3 = 0 GROUP BY t.table_name, source_file_name, t.status, t.first_batch, t.batch_id
 
 -- name: promote_latest
 SELECT shipment_id, item_id, lot_id, ship_date, warehouse_id, qty_shipped, weight, channel_order_id,
@@ -148,7 +152,7 @@ SELECT c.charge_type, count(*) AS lines, charge_domain, cost_stage, capitalizabl
 FROM fact_charge_actual c JOIN charge_policy p ON c.charge_type = p.charge_type GROUP BY ALL
 
 -- name: upload_history
-SELECT f.*, b.* EXCLUDE (batch_id)
+SELECT f.*, b.* EXCLUDE (batch_id), count(*) OVER () AS total
 FROM file_log f LEFT JOIN batch_log b ON f.batch_id = b.batch_id
 WHERE status = 'success' AND table_name = 'fact_order' AND processed_on >= DATE '1995-06-01'
 ORDER BY processed_on DESC, file_name LIMIT 50 OFFSET 50

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import Catalog, query, table
 from ledgerloom.operators import ingest
 from ledgerloom.session import scratch_dir
-from ledgerloom.sources import files
+from ledgerloom.sources import files, uploadlog
 from ledgerloom.sources.tables import drop_path
 from ledgerloom.streaming.inbox import inbox_stream
 
@@ -133,15 +133,20 @@ def reject_missing_required(cat: Catalog) -> DataFrame:
 
 @query("upload_content_hash")
 def upload_content_hash(cat: Catalog) -> DataFrame:
-    """Upload files against those already seen; every third file was sent twice under another name."""
+    """Verdicts on four batches: the shipment files; every third again under another name; those forced; those as returns."""
     rows = cat["upload_shipment"].withColumn("row_no", F.lit(1))
-    again = rows.filter("batch_id % 3 = 0").withColumn(
-        "source_file_name", F.concat(F.lit("copy_of_"), "source_file_name"))
-    hashes = ingest.content_hash(
-        rows.unionByName(again), ["source_file_name"], ["batch_id", "raw_id", "row_no"])
-    return ingest.mark_duplicates(
-        hashes.withColumn("_copy", F.col("source_file_name").startswith("copy_of_")), ["_copy", "source_file_name"],
-    ).select("source_file_name", "row_count", "status")
+    again = rows.filter("batch_id % 3 = 0").withColumn("source_file_name", F.concat(F.lit("copy_of_"), "source_file_name"))
+    path = scratch_dir(cat.spark, "upload-log")
+
+    def upload(batch: int, sent: DataFrame, table_name: str, force: bool = False) -> DataFrame:
+        hashes = ingest.content_hash(sent, ["source_file_name"], ["batch_id", "raw_id", "row_no"], table_name)
+        return uploadlog.admit(hashes.withColumn("table_name", F.lit(table_name)), path, batch, force)
+
+    upload(1, rows, "upload_shipment")
+    upload(2, again, "upload_shipment")
+    upload(3, again, "upload_shipment", force=True)
+    upload(4, again, "upload_return")
+    return uploadlog.read_log(cat.spark, path).drop("content_hash")
 
 
 # ---- merges -------------------------------------------------------------
@@ -200,9 +205,11 @@ def upload_history_rows(
 
 @query("upload_history")
 def upload_history(cat: Catalog) -> DataFrame:
-    """The second page of fifty of the newest successful files."""
+    """The second page of fifty of the newest successful files, with how many there are in all."""
     rows = upload_history_rows(cat, status="success", table_name="fact_order", date_from="1995-06-01")
-    return rows.orderBy(F.desc("processed_on"), "file_name").offset(50).limit(50)
+    total = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
+    page = rows.orderBy(F.desc("processed_on"), "file_name").offset(50).limit(50)
+    return page.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
 
 
 @query("upload_status_tally")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import Policy
 from ledgerloom.operators import ingest, quality
-from ledgerloom.sources import files
+from ledgerloom.sources import files, uploadlog
 from ledgerloom.sources.contracts import CONTRACTS
 from ledgerloom.sources.tables import conform, merge_into, write_mart
 from ledgerloom.streaming.inbox import inbox_stream
@@ -153,3 +153,21 @@ def test_pipeline_writes_every_mart(spark, tmp_path):
     assert run.errors == {} and all(run.rows[s] > 0 for s in steps)
     dry = run_pipeline(catalog(spark), str(tmp_path / "dry"), steps, dry_run=True)
     assert set(dry.rows) == set(steps) and not (tmp_path / "dry").exists()
+
+
+def test_upload_log_knows_content_by_table(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def sent(batch, names, table="upload_shipment", force=False, value="x"):
+        data = spark.createDataFrame([(n, value, 1.0) for n in names], "source_file_name string, item string, qty double")
+        hashes = ingest.content_hash(data, ["source_file_name"], [], table).withColumn("table_name", F.lit(table))
+        return rows(uploadlog.admit(hashes, path, batch, force), "source_file_name", "status", "first_batch")
+
+    first = [("a", "success", None), ("b", "duplicate", 1)]
+    assert sent(1, ["a", "b"]) == first
+    assert sent(1, ["a", "b"]) == first  # run again, it does not find itself
+    assert sent(2, ["c"]) == [("c", "duplicate", 1)]
+    assert sent(3, ["c"], force=True) == [("c", "success", None)]
+    assert sent(4, ["c"], table="upload_return") == [("c", "success", None)]
+    assert sent(5, ["a"], value="y") == [("a", "success", None)]
+    assert uploadlog.read_log(spark, path).count() == 6
