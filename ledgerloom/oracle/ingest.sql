@@ -148,8 +148,27 @@ SELECT * REPLACE (CASE WHEN batch_id IN (SELECT batch_id FROM last_batches) THEN
 FROM batch_log
 
 -- name: charge_policy_dim
-SELECT c.charge_type, count(*) AS lines, charge_domain, cost_stage, capitalizable_flag
-FROM fact_charge_actual c JOIN charge_policy p ON c.charge_type = p.charge_type GROUP BY ALL
+SELECT p.*, (SELECT count(*) FROM fact_charge_actual c WHERE c.charge_type = p.charge_type) AS lines
+FROM (VALUES
+  ('LAST_MILE_PARCEL', 'logistics_transport', 'outbound', false, 'order_count', 'warn'),
+  ('DOMESTIC_TRUCKING', 'logistics_transport', 'outbound', false, 'weight', 'warn'),
+  ('FREIGHT_INTL_SEA', 'logistics_transport', 'inbound_landed', true, 'weight', 'warn'),
+  ('FREIGHT_INTL_AIR', 'logistics_transport', 'inbound_landed', true, 'weight', 'warn'),
+  ('PORT_TERMINAL_FEE', 'logistics_transport', 'inbound_landed', true, 'value', 'warn'),
+  ('FORWARDER_FEE', 'logistics_transport', 'inbound_landed', true, 'value', 'warn'),
+  ('CUSTOMS_DUTY', 'customs', 'inbound_landed', true, 'value', 'warn'),
+  ('CUSTOMS_VAT', 'customs', 'inbound_landed', true, 'value', 'warn'),
+  ('BROKER_FEE', 'customs', 'inbound_landed', true, 'value', 'warn'),
+  ('CARGO_INSURANCE', 'logistics_transport', 'inbound_landed', true, 'value', 'warn'),
+  ('3PL_STORAGE_FEE', '3pl_billing', 'storage', false, 'onhand_cbm_days', 'warn'),
+  ('3PL_PICK_PACK_FEE', '3pl_billing', 'outbound', false, 'line_count', 'warn'),
+  ('3PL_HANDLING_FEE', '3pl_billing', 'outbound', false, 'line_count', 'warn'),
+  ('3PL_RETURN_PROCESSING_FEE', '3pl_billing', 'returns', false, 'line_count', 'warn'),
+  ('DISPOSAL_FEE', '3pl_billing', 'returns', false, 'qty', 'warn'),
+  ('PLATFORM_FEE', 'platform_fee', 'period', false, 'revenue', 'warn'),
+  ('PG_FEE', 'platform_fee', 'period', false, 'revenue', 'warn'),
+  ('MARKETING_SPEND', 'marketing', 'period', false, 'revenue', 'warn'))
+  AS p(charge_type, charge_domain, cost_stage, capitalizable_flag, default_allocation_basis, severity_if_missing)
 
 -- name: upload_history
 SELECT f.*, b.* EXCLUDE (batch_id), count(*) OVER () AS total

@@ -6,11 +6,15 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.catalog import Catalog, query
 from ledgerloom.functions.exprs import (
-    MONEY, by_value, exact_avg, exact_sum, literal_table, rate_avg, ratio, side_by_side, sum0, weighted_avg,
+    MONEY, by_value, exact_avg, exact_sum, literal_table, month, rate_avg, ratio, side_by_side, sum0,
+    weighted_avg,
 )
+from ledgerloom.session import scratch_dir
+from ledgerloom.sources.tables import read_months, write_monthly
 
 # ---- filters ------------------------------------------------------------
 # mart: the date column a range applies to; marts not listed filter by period
@@ -41,23 +45,40 @@ def apply_filters(
     return df
 
 
+def publish(cat: Catalog, mart: str, path: str | None = None) -> tuple[str, T.StructType]:
+    """Write a mart by month, once a catalog; its path and schema."""
+    places = cat.notes.setdefault("published", {})
+    if mart not in places:
+        df, day = cat[mart], DATE_COLUMNS.get(mart)
+        path = path or scratch_dir(cat.spark, mart)
+        places[mart] = path, write_monthly(df, path, month(day) if day else F.col("period"))
+    return places[mart]
+
+
+def read_published(
+    cat: Catalog, mart: str, start: dt.date | None = None, end: dt.date | None = None, **equals: str | None,
+) -> DataFrame:
+    """A published mart under the filters; only the folders of the months asked for are read."""
+    months = periods_between(start, end) if start and end else None
+    return apply_filters(read_months(cat.spark, *publish(cat, mart), months), mart, start, end, **equals)
+
+
 SPRING = (dt.date(1998, 1, 15), dt.date(1998, 4, 20))
 
 
 @query("scm_filter")
 def scm_filter(cat: Catalog) -> DataFrame:
-    return apply_filters(cat["mart_shipment_daily"], "mart_shipment_daily", *SPRING, warehouse_id="W1")
+    return read_published(cat, "mart_shipment_daily", *SPRING, warehouse_id="W1")
 
 
 @query("scm_filter_periods")
 def scm_filter_periods(cat: Catalog) -> DataFrame:
-    return apply_filters(cat["mart_open_po"], "mart_open_po", *SPRING, supplier_id="7")
+    return read_published(cat, "mart_open_po", *SPRING, supplier_id="7")
 
 
 @query("pnl_filter")
 def pnl_filter(cat: Catalog) -> DataFrame:
-    return apply_filters(
-        cat["mart_pnl_revenue"], "mart_pnl_revenue", *SPRING, channel_store_id="S3", country="KR")
+    return read_published(cat, "mart_pnl_revenue", *SPRING, channel_store_id="S3", country="KR")
 
 
 # ---- time ---------------------------------------------------------------

@@ -181,10 +181,9 @@ def rollback_batch_log(cat: Catalog) -> DataFrame:
 # ---- logs and status ----------------------------------------------------
 @query("charge_policy_dim")
 def charge_policy_dim(cat: Catalog) -> DataFrame:
-    """Policy attributes of the charge types in use, with what was invoiced under them."""
-    used = cat["fact_charge_actual"].groupBy("charge_type").agg(F.count(F.lit(1)).alias("lines"))
-    return used.join(cat.policy.charge_policy(cat.spark), "charge_type").drop(
-        "default_allocation_basis", "severity_if_missing")
+    """Every charge type of the policy with all its attributes, and how many lines were invoiced under it."""
+    used = cat["fact_charge_actual"].groupBy("charge_type").agg(F.count(F.lit(1)).alias("_n"))
+    return cat.policy.charge_policy(cat.spark).join(used, "charge_type", "left").withColumn("lines", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n")
 
 
 def upload_history_rows(

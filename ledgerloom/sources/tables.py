@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,19 @@ def write_mart(df: DataFrame, path: str, partition: str | None = None, schema: T
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_monthly(df: DataFrame, path: str, stamp: Column) -> T.StructType:
+    """Full refresh in one folder per month of ``stamp`` (``YYYY-MM``); the schema to read it with."""
+    dated = df.withColumn(MONTH, F.coalesce(stamp, F.lit("none")))
+    dated.hint("rebalance", MONTH).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(path)
+    return dated.schema
+
+
+def read_months(spark: SparkSession, path: str, schema: T.StructType, months: list[str] | None = None) -> DataFrame:
+    """A monthly table, or only the folders of some months."""
+    df = spark.read.schema(schema).parquet(path)
+    return (df if months is None else df.filter(F.col(MONTH).isin(months))).drop(MONTH)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -173,3 +173,21 @@ def test_result_does_not_depend_on_partitioning(spark):
         return rows(cat["mart_shipment_daily"])
 
     assert total(1) == total(7)
+
+
+def test_filters_read_the_months_asked_for(spark, tmp_path):
+    import datetime as dt
+    import re
+
+    from ledgerloom.plans.dashboards import publish, read_published
+
+    ships = [dict(shipment_id=f"S{m}", ship_date=f"2024-{m:02d}-05", warehouse_id="W1", item_id="A", channel_store_id="S", qty_shipped=float(m),
+                  channel_order_id=f"O{m}") for m in range(1, 7)]
+    cat = catalog(spark, fact_shipment=ships)
+    path, _ = publish(cat, "mart_shipment_daily", str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("_month=*"))) == 6 and path == str(tmp_path / "m")
+    found = read_published(cat, "mart_shipment_daily", dt.date(2024, 2, 1), dt.date(2024, 3, 31), warehouse_id="W1")
+    assert rows(found, "ship_date", "qty_shipped") == [(dt.date(2024, 2, 5), 2.0), (dt.date(2024, 3, 5), 3.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[_month#\d+ IN \(2024-02,2024-03\)\]", plan), plan
+    assert read_published(cat, "mart_shipment_daily").count() == 6
