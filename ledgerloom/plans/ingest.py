@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog, query, table
+from ledgerloom.functions.exprs import exact_sum
 from ledgerloom.operators import ingest
 from ledgerloom.session import scratch_dir
 from ledgerloom.sources import files, uploadlog
 from ledgerloom.sources.tables import drop_path
+from ledgerloom.sources.uploads import CORRECTED, dataset_upload
 from ledgerloom.streaming.inbox import inbox_stream
 
 LOADED_ON = dt.date(2002, 1, 1)
@@ -158,6 +160,18 @@ def promote_latest(cat: Catalog) -> DataFrame:
     return ingest.promote(cat["upload_shipment"], "shipment").drop("volume_cbm", "channel_store_id")
 
 
+@query("promote_datasets")
+def promote_datasets(cat: Catalog) -> DataFrame:
+    """All seven datasets promoted: rows, the sum of the corrected measure, and rows that come from the correction."""
+    out = None
+    for dataset, promotion in ingest.PROMOTIONS.items():
+        core = ingest.promote(dataset_upload(cat, dataset), dataset)
+        one = core.agg(F.count(F.lit(1)).alias("row_count"), exact_sum(CORRECTED[promotion["core"]]).alias("total"),
+                       F.count_if(F.col("load_batch_id") == 2).alias("corrected")).withColumn("dataset", F.lit(dataset))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("upsert_core")
 def upsert_core(cat: Catalog) -> DataFrame:
     """Late batches merged over early ones."""

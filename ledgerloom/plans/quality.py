@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import Catalog, query, table
 from ledgerloom.functions.exprs import month
 from ledgerloom.operators import quality
+from ledgerloom.operators.ingest import PROMOTIONS
 from ledgerloom.session import materialize
 from ledgerloom.sources.contracts import CONTRACTS
+from ledgerloom.sources.uploads import dataset_upload
 
 
 @table("shipment_rows")
@@ -187,6 +189,20 @@ def dq_upload_nonneg(cat: Catalog) -> DataFrame:
         [(f"{c} is negative", F.col(c) < 0) for c in columns])
 
 
+@query("dq_upload_datasets")
+def dq_upload_datasets(cat: Catalog) -> DataFrame:
+    """Repeated keys and negative numbers in the uploads of all seven datasets, counted by problem."""
+    out = None
+    for dataset, promotion in PROMOTIONS.items():
+        rows = materialize(dataset_upload(cat, dataset), f"upload-{dataset}")
+        numbers = [c for c, kind in CONTRACTS[promotion["core"]].columns.items() if kind == "DOUBLE" and c in rows.columns]
+        found = quality.repeated_keys(rows, "source_file_name", "source_row_no", promotion["key"]).unionByName(
+            quality.flagged(rows, ["source_file_name", "source_row_no"], [(f"{c} is negative", F.col(c) < 0) for c in numbers]))
+        one = found.groupBy("source_file_name", "problem").agg(F.count(F.lit(1)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("dq_upload_inventory")
 def dq_upload_inventory(cat: Catalog) -> DataFrame:
     onhand, sellable, blocked = F.col("onhand_qty"), F.col("sellable_qty"), F.col("blocked_qty")
