@@ -16,6 +16,7 @@ ones too; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -215,8 +216,9 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 6, batc
     codes, owner = windows(split)
     learn = np.flatnonzero(~aside[owner])
     # An embedding that few texts use would only learn those texts; it stays at zero.
-    picks = split.codes[np.repeat(~aside, split.counts)]
-    texts_of = split.owner[np.repeat(~aside, split.counts)]
+    # A word counts once for each text, so pairs are made distinct before their n-grams are listed.
+    picks = np.unique((split.owner * len(lexicon.word) + split.codes)[np.repeat(~aside, split.counts)])
+    texts_of, picks = np.divmod(picks, max(len(lexicon.word), 1))
     used = lexicon.take(picks)
     often = {"words": _seen_often(used.word, texts_of, WORD_ROWS, least),
              "chars": _seen_often(used.chars, np.repeat(texts_of, np.diff(used.first)), CHAR_ROWS, least)}
@@ -308,10 +310,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = 1_200, chars
 def fit_from(docs: DataFrame, labels: DataFrame) -> Network | float:
     """A network, or the constant score where the labels are not of both kinds."""
     sample, share = training_sample(docs, labels)
-    rows = sorted(sample.collect())
-    if len({r.toxic for r in rows}) < 2:
-        return float(share)
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows], share)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for batch in batches for r in batch.to_pylist())
+        model: object = float(share)
+        if len({toxic for *_, toxic in rows}) == 2:
+            net = fit([text for _, text, _ in rows], [toxic for *_, toxic in rows], share)
+            model = (net.weights, net.slope, net.shift)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task trains on it; the driver gets the weights only.
+    found = sample.repartition(1).mapInArrow(train, "model binary").first()
+    model = pickle.loads(found[0]) if found else float(share)
+    if isinstance(model, float):
+        return model
+    net = Network.fresh(0)
+    net.weights, net.slope, net.shift = model
+    return net
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
