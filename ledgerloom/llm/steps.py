@@ -36,8 +36,13 @@ class Chain:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back."""
-    out = session.materialize(df, label)
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write a frame to the shared folder, with the writer's ``options``, and read it back."""
+    if not options:
+        out = session.materialize(df, label)
+    else:
+        path = session.scratch_dir(df.sparkSession, label)
+        df.write.options(**options).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
     release(df.sparkSession)
     return out
