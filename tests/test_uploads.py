@@ -1,10 +1,10 @@
-"""Upload checks and file reports: rows made once, keys found without a join where two rows share them."""
+"""Upload checks, file reports and stock spans: rows made once, moved as little as the job allows."""
 
 from frames import catalog, frame, rows
 from pyspark.sql import functions as F
 
 from ledgerloom import Catalog
-from ledgerloom.operators import quality
+from ledgerloom.operators import allocation, quality
 from ledgerloom.plans.quality import _digits
 from ledgerloom.policy import Policy
 from ledgerloom.sources import canonical, uploads
@@ -58,3 +58,16 @@ def test_digits_of_a_text(spark):
     df = spark.createDataFrame([("W12",), ("SH7-3",), ("007",), ("-5 \u00e91\U0001f600",), (None,)], "t string")
     assert [r[0] for r in df.select(_digits("t")).collect()] == [12, 73, 7, 51, None]
     assert "regexp" not in plan(df.select(_digits("t")))
+
+
+def test_stock_spans_go_to_the_rows(spark):
+    stock = frame(spark, "fact_inventory_snapshot", [
+        dict(snapshot_date=d, warehouse_id=w, item_id="A", lot_id="L", onhand_qty=2.0)
+        for w in ("W1", None) for d in ("2024-01-30", "2024-02-02")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # sizes are no reason to send anything
+    try:
+        days = allocation.stock_days(stock)
+        assert "BroadcastHashJoin" in days._jdf.queryExecution().executedPlan().toString()
+        assert rows(days) == sorted([(m, w, "A", "L", q) for w in ("W1", None) for m, q in (("2024-01", 4.0), ("2024-02", 2.0 + 56.0))], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
