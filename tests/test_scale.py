@@ -1,13 +1,16 @@
 """Plans that keep up with larger tables: rows spread over tasks, no broadcast of what grows, one move of the rows."""
 
 import datetime as dt
+import random
+from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
 import pytest
 from frames import catalog, frame, rows
 from pyspark.sql import functions as F
 
-from ledgerloom import Catalog, session
-from ledgerloom.operators import expiry, quality, ranking
+from ledgerloom import Catalog, Policy, session
+from ledgerloom.functions.exprs import exact_avg, exact_sum
+from ledgerloom.operators import anomaly, expiry, quality, ranking
 from ledgerloom.plans import scm
 from ledgerloom.sources import history
 
@@ -97,3 +100,18 @@ def test_rules_are_compiled_and_repeated_keys_not_broadcast(spark):
     twice = quality.repeated_keys(df, "f", "no", ["a"])
     assert [r.no for r in twice.collect()] == [4]
     assert "BroadcastHashJoin" not in plan(twice)
+
+
+def test_sums_are_counted_in_units_and_exact(spark):
+    values = {
+        "whole": [3.0, -1.0, None], "parts": [0.1, 0.2, 0.00005, 2.00015, -7.12345], "none": [None],
+        "large": [99999999999999.9] * 3000 + [0.0001], "odd": [1e11, 99999999999.99995, -0.0, 12345678901.0625],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    found = df.groupBy("k").agg(exact_sum("v").alias("s"), exact_avg("v").alias("a"))
+    # toString of a double, rounded half up to four places, as a cast to decimal does
+    expected = {k: [Decimal(repr(v)).quantize(Decimal("0.0001"), ROUND_HALF_UP) for v in vs if v is not None] for k, vs in values.items()}
+    assert {r.k: r.s for r in found.collect()} == {k: float(sum(vs)) if vs else None for k, vs in expected.items()}
+    assert {r.k: r.a for r in found.collect()} == {k: float(sum(vs)) / len(vs) if vs else None for k, vs in expected.items()}
+    # Decimals of 28 digits are added as objects, a row at a time.
+    assert "partial_sum(cast(v" not in plan(found)
