@@ -115,3 +115,23 @@ def test_sums_are_counted_in_units_and_exact(spark):
     assert {r.k: r.a for r in found.collect()} == {k: float(sum(vs)) / len(vs) if vs else None for k, vs in expected.items()}
     # Decimals of 28 digits are added as objects, a row at a time.
     assert "partial_sum(cast(v" not in plan(found)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 2e9])
+def test_detector_in_units_finds_what_decimals_find(spark, scale):
+    rng = random.Random(3)
+    series = [round(rng.random() * scale, 4) if d % 9 else round(7.7 * scale, 4) for d in range(60)]
+    df = spark.createDataFrame([("e", f"2024-{d:03d}", v if d % 13 else None) for d, v in enumerate(series)], "e string, at string, v double")
+    expected = []
+    for d in range(60):
+        seen = [Decimal(repr(v)) for k, v in enumerate(series) if d - 14 < k <= d and k % 13]
+        if len(seen) >= 7 and d % 13:
+            with localcontext(Context(60)):
+                spread = (len(seen) * sum(v * v for v in seen) - sum(seen) ** 2).quantize(Decimal("1e-7"), ROUND_HALF_UP, Context(60))
+            mean, n = float(sum(seen)) / len(seen), float(len(seen))
+            deviation = (series[d] - mean) / (float(spread) / (n * (n - 1))) ** 0.5
+            if abs(deviation) >= 2:
+                expected.append((series[d], mean, deviation))
+    found = anomaly.detect(df, "at", "v", ["e"], "m", "t", Policy())
+    assert expected and rows(found, "current_value", "expected_value", "deviation") == sorted(expected, key=repr)
+    assert "sum(_few" in plan(found)
