@@ -135,3 +135,23 @@ def test_detector_in_units_finds_what_decimals_find(spark, scale):
     found = anomaly.detect(df, "at", "v", ["e"], "m", "t", Policy())
     assert expected and rows(found, "current_value", "expected_value", "deviation") == sorted(expected, key=repr)
     assert "sum(_few" in plan(found)
+
+
+@pytest.mark.parametrize("lots_in_row", [1_000, 1])
+def test_many_lots_are_met_by_item_without_moving_the_snapshot(spark, tmp_path, monkeypatch, lots_in_row):
+    def made(items, lots):
+        return spark.createDataFrame([(i, lot, dt.date(1997, 1, 1 + k)) for k, lot in enumerate(lots) for i in items], "item_id string, lot_id string, _mfg date")
+
+    spark.range(1, 13).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    cat = Catalog(spark, source_dir=str(tmp_path))
+    snapshot, dates = cat["fact_inventory_snapshot"], made(["1", "2"], ["L0", "L2"]).unionByName(made(["3", "x"], ["L1"]))
+    items = cat["dim_item"].unionByName(cat["dim_item"].filter("item_id = '2'"))  # a key may repeat
+    snapshot = snapshot.unionByName(snapshot.limit(3).withColumn("lot_id", F.lit(None).cast("string"))) if lots_in_row == 1 else snapshot
+    names = ["item_id", "lot_id", "snapshot_date", "warehouse_id", "item_type", "_mfg"]
+    whole = rows(expiry.with_made(snapshot, items, dates), *names)
+    monkeypatch.setattr(session, "FEW", 0)
+    monkeypatch.setattr(expiry, "LOTS_IN_ROW", lots_in_row)
+    spread = expiry.with_made(snapshot, items, dates)
+    assert rows(spread, *names) == whole
+    if lots_in_row > 1:
+        assert "ShuffledHashJoin [item_id" in plan(spread) and "Sort [item_id#" not in plan(spread).split("BroadcastNestedLoopJoin")[0]
