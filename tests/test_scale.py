@@ -155,3 +155,18 @@ def test_many_lots_are_met_by_item_without_moving_the_snapshot(spark, tmp_path,
     assert rows(spread, *names) == whole
     if lots_in_row > 1:
         assert "ShuffledHashJoin [item_id" in plan(spread) and "Sort [item_id#" not in plan(spread).split("BroadcastNestedLoopJoin")[0]
+
+
+@pytest.mark.parametrize("name", ["mart_anomaly_signals", "kpi_forecast"])
+def test_line_items_are_ranked_once_for_several_facts(spark, tmp_path, name):
+    spark.range(1, 9).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    day = F.expr("timestamp '1998-01-01' + make_interval(0, 0, 0, int(id % 40))")
+    lines = spark.range(80).select(
+        (F.col("id") % 20).alias("l_orderkey"), (F.col("id") % 8 + 1).alias("l_partkey"), (F.col("id") % 3).alias("l_suppkey"),
+        (F.col("id") % 5).cast("int").alias("l_linenumber"), *[F.lit(v).alias(c) for c, v in (
+            ("l_quantity", 5.0), ("l_extendedprice", 100.0), ("l_discount", 0.0), ("l_tax", 0.0))], F.lit("R").alias("l_returnflag"),
+        F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("l_linestatus"), day.alias("l_shipdate"))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = Catalog(spark, source_dir=str(tmp_path))[name]
+    assert "Window [row_number() windowspecdefinition(l_orderkey" not in plan(found)
+    assert found.count() == 1 or name == "mart_anomaly_signals"
