@@ -12,7 +12,7 @@ from ledgerloom import Catalog, Policy, session
 from ledgerloom.functions.exprs import exact_avg, exact_sum
 from ledgerloom.operators import anomaly, expiry, quality, ranking
 from ledgerloom.plans import scm
-from ledgerloom.sources import history
+from ledgerloom.sources import canonical, history
 
 
 def plan(df):
@@ -170,3 +170,16 @@ def test_line_items_are_ranked_once_for_several_facts(spark, tmp_path, name):
     found = Catalog(spark, source_dir=str(tmp_path))[name]
     assert "Window [row_number() windowspecdefinition(l_orderkey" not in plan(found)
     assert found.count() == 1 or name == "mart_anomaly_signals"
+
+
+def test_line_items_are_dealt_out_before_they_are_ordered(spark, tmp_path, monkeypatch):
+    """A task orders a bounded number of lines, however long the piece of the file that was read at once."""
+    lines = spark.range(90).select(
+        (F.col("id") % 40).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.expr("date_add(DATE'1995-01-01', CAST(id AS int))").alias("l_shipdate"),
+        *(F.col("id").alias(f"l_{c}") for c in ("partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(canonical, "LINE_ROWS", 9)
+    li = Catalog(spark, source_dir=str(tmp_path))["li"]
+    assert sorted((r.l_orderkey, r.l_partkey) for r in li.collect()) == sorted((k % 40, k) for k in range(50, 90))
+    first = next(step for step in reversed(plan(li).split("\n")) if "Sort" in step or "Exchange" in step)
+    assert "hashpartitioning(l_orderkey" in first and ", 10), REPARTITION_BY_NUM" in first
