@@ -39,7 +39,7 @@ from ledgerloom.llm.steps import Chain
 DEPTH, LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 3, 4, 2, 0.75
 BLOCK_BYTES = 8 << 20
 #: Words whose counts one task adds up, on average.
-SHARE_WORDS = 3 << 20
+SHARE_WORDS = 3 << 19
 _END = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,20 +167,29 @@ def exchange(blocks: DataFrame, ask: Question, sent: dict[str, type], answer: An
         rows = [row for batch in batches for row in batch.to_pylist()]
         if not rows:
             return
-        keys = [_unpack(r["keys"], wide) for r in rows]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        values = {c: np.concatenate([_restored(r[c], kind) for r in rows]) for c, kind in sent.items()}
-        sums = {c: np.bincount(inverse, v, len(every)) if c[0] != "=" else _last(inverse, v, len(every)) for c, v in values.items()}
+        keys = [_unpack(r.pop("keys"), wide) for r in rows]
+        sizes = [len(k) for k in keys]
+        together = np.concatenate(keys)
+        del keys
+        every, inverse = np.unique(together, return_inverse=True)
+        del together
+        sums = {}
+        # One column at a time: what the blocks sent of it is let go before the next one.
+        for c, kind in sent.items():
+            values = np.concatenate([_restored(r.pop(c), kind) for r in rows])
+            sums[c] = np.bincount(inverse, values, len(every)) if c[0] != "=" else _last(inverse, values, len(every))
+            del values
         told = answer(every, inverse, sums)
-        ends = np.cumsum([len(k) for k in keys])
+        del sums
+        ends = np.cumsum(sizes)
         # The first block that sent a key owns it: it alone reports what must be counted once.
         owner = np.zeros(len(inverse), bool)
-        owner[np.unique(inverse, return_index=True)[1]] = True
-        for row, k, end in zip(rows, keys, ends, strict=True):
-            mine = inverse[end - len(k) : end]
+        owner[_first(inverse, len(every))] = True
+        for row, size, end in zip(rows, sizes, ends, strict=True):
+            mine = inverse[end - size : end]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int64()), *(pa.array([_squeezed(told[c][mine].astype(kind))], pa.binary()) for c, kind in got.items()),
-                 pa.array([np.packbits(owner[end - len(k) : end]).tobytes()], pa.binary()), pa.array([len(k)], pa.int64())],
+                 pa.array([np.packbits(owner[end - size : end]).tobytes()], pa.binary()), pa.array([size], pa.int64())],
                 ["block", "part", *got, "owner", "size"])
 
     questions = blocks.mapInArrow(send, "block long, part long, keys binary, " + ", ".join(f"`{c}` binary" for c in sent))
@@ -196,6 +205,13 @@ def _last(inverse: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _first(inverse: np.ndarray, size: int) -> np.ndarray:
+    """Where each of ``size`` numbers stands first; all of them occur."""
+    out = np.zeros(size, np.int64)
+    out[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+    return out
+
+
 def _told(row: dict, name: str, kind: type) -> np.ndarray:
     return np.concatenate([_restored(t[name], kind) for t in row["told"]] or [np.zeros(0, kind)]) if row["told"] else np.zeros(0, kind)
 
@@ -289,12 +305,11 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return keys, {"n": np.bincount(inverse, block.trained[at], len(keys))}
 
         def next_of(block: Block, pairs=pairs, level: int = level) -> dict[str, np.ndarray]:
-            at, _, inverse = pairs(block)
+            at, keys, inverse = pairs(block)
             out, owned = np.zeros(len(block.codes), np.int32), np.zeros(len(block.codes), bool)
             out[at] = _told(block.row, "total", np.int32)[inverse]
             # One token stands for each pair that this block owns.
-            first = np.unique(inverse, return_index=True)[1]
-            owned[at[first]] = _owned(block.row)
+            owned[at[_first(inverse, len(keys))]] = _owned(block.row)
             return {f"next_n{level}": out, "owned": np.packbits(owned)}
 
         def contexts(block: Block, level: int = level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import suffixtree as st
@@ -91,3 +92,8 @@ def test_edges(spark):
 def test_query_beats_the_base(spark):
     rows = st.op1_suffix_tree(spark, "/root/testdata/sf0.001").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
+
+
+def test_first_places():
+    inverse = np.random.default_rng(3).permutation(np.append(np.arange(50), np.random.default_rng(5).integers(0, 50, 400)))
+    assert (st._first(inverse, 50) == np.unique(inverse, return_index=True)[1]).all()
